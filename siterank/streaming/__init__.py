@@ -1,0 +1 @@
+"""The study works on finished layers only: there are no streams, watermarks or state to express here."""
