@@ -528,7 +528,7 @@ twin("rank_against", f"""SELECT r.* FROM (SELECT site_id, county,
     WHERE site_id NOT IN (SELECT site_id FROM ({B['l_river']}))""", FEW)
 GEO = f"""SELECT site_id, county, rank() OVER (PARTITION BY county ORDER BY y DESC, x ASC) AS geographic_rank
     FROM sites JOIN ({region('counties', 'cty_name', 'county', R_MI)}) USING (site_id)"""
-ID = "left(county, 1) || lpad({r}::VARCHAR, greatest(length({r}::VARCHAR), 3), '0')"
+ID = "left(county, 1) || lpad({r}::VARCHAR, greatest(length({r}::VARCHAR), 3)::INT, '0')"
 twin("geographic_rank", GEO)
 twin("county_id", f"""SELECT site_id, county, CASE WHEN county IN ({RANKED}) THEN {ID.format(r='geographic_rank')} END
     AS county_id FROM ({GEO})""")

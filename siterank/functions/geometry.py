@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,55 +68,96 @@ def area_dist2(x: Column, y: Column, edges: Column) -> Column:
     return F.aggregate(edges, start, step, lambda acc: F.when(acc["inside"], F.lit(0.0)).otherwise(acc["d2"]))
 
 
-def circle_interval(x: Column, y: Column, r: Column, x1: Column, y1: Column, x2: Column, y2: Column):
-    """The part [lo, hi] of a segment (as fractions of it) inside a circle; lo >= hi or NULL means none."""
-    dx, dy = x2 - x1, y2 - y1
-    fx, fy = x1 - x, y1 - y
-    a = dx * dx + dy * dy
-    b = 2 * (fx * dx + fy * dy)
-    c = fx * fx + fy * fy - r * r
-    disc = b * b - 4 * a * c
-    root = F.sqrt(F.when((disc > 0) & (a > 0), disc))
-    return (
-        F.greatest(F.when(root.isNotNull(), F.lit(0.0)), (-b - root) / (2 * a)),
-        F.least(F.when(root.isNotNull(), F.lit(1.0)), (-b + root) / (2 * a)),
-    )
+def settle(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are worked out once per row, even if later filters and columns use them often: the
+    optimizer copies plain columns into every use, which makes nested formulas grow without end."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_row")
+    return df.select("*", row).select(*df.columns, *[F.col(f"_row.{n}").alias(n) for n in cols])
+
 
+def with_circle_interval(df: DataFrame, x: str, y: str, r: float, seg: list[str], lo: str, hi: str) -> DataFrame:
+    """Keep the rows whose segment (column names x1, y1, x2, y2) passes through the circle around (x, y),
+    and add the part [lo, hi] of the segment inside it, as fractions of the segment."""
+    x1, y1, x2, y2 = (F.col(c) for c in seg)
+    dx, dy, fx, fy = x2 - x1, y2 - y1, x1 - F.col(x), y1 - F.col(y)
+    df = settle(df, _a=dx * dx + dy * dy, _b=fx * dx + fy * dy, _c=fx * fx + fy * fy - F.lit(float(r) * float(r)))
+    a, b = F.col("_a"), F.col("_b")
+    df = settle(df.filter(a > 0), _disc=b * b - a * F.col("_c")).filter("_disc > 0")
+    root = F.sqrt("_disc")
+    ends = {lo: F.greatest(F.lit(0.0), (-b - root) / a), hi: F.least(F.lit(1.0), (root - b) / a)}
+    return settle(df, **ends).filter(F.col(hi) > F.col(lo)).drop("_a", "_b", "_c", "_disc")
 
-def _slab(p: Column, d: Column, lo: Column, hi: Column):
-    """Fractions of p + t*d between two parallel bounds, as (first, last)."""
+
+def _slab(p: Column, d: Column, lo: Column, hi: Column) -> dict[str, Column]:
+    """First and last fraction of p + t*d between two parallel bounds; NULL if it never is."""
     moving = F.when(d != 0, d)
-    t1, t2 = (lo - p) / moving, (hi - p) / moving
     inside = (p >= lo) & (p <= hi)
-    first = F.when(d != 0, F.least(t1, t2)).when(inside, F.lit(float("-inf")))
-    last = F.when(d != 0, F.greatest(t1, t2)).when(inside, F.lit(float("inf")))
-    return first, last
+    return {
+        "first": F.when(d != 0, F.least((lo - p) / moving, (hi - p) / moving)).when(inside, F.lit(float("-inf"))),
+        "last": F.when(d != 0, F.greatest((lo - p) / moving, (hi - p) / moving)).when(inside, F.lit(float("inf"))),
+    }
 
 
-def capsule_interval(p1x, p1y, p2x, p2y, r: Column, ax, ay, bx, by):
-    """The part [lo, hi] of segment p within r of segment a-b; NULL means none.
+def with_capsule_interval(df: DataFrame, part: list[str], r: float, line: list[str], lo: str, hi: str) -> DataFrame:
+    """Keep the rows whose segment `part` comes within r of segment `line` (both column names x1, y1, x2,
+    y2), and add the fractions [lo, hi] of `part` between which it does.
 
-    The set of points within r of a segment is convex, so it cuts p in one interval: the hull of what the
-    two end circles and the rectangle between them cut out.
+    The points within r of a segment form a convex shape, so they cut `part` in one interval: the hull of
+    what the circles around both ends and the rectangle between them cut out.
     """
-    lo_a, hi_a = circle_interval(ax, ay, r, p1x, p1y, p2x, p2y)
-    lo_b, hi_b = circle_interval(bx, by, r, p1x, p1y, p2x, p2y)
-    ex, ey = bx - ax, by - ay
-    length = F.sqrt(ex * ex + ey * ey)
-    unit = F.when(length > 0, length)
-    ux, uy = ex / unit, ey / unit
-    dx, dy = p2x - p1x, p2y - p1y
-    wx, wy = p1x - ax, p1y - ay
-    along0, along1 = _slab(wx * ux + wy * uy, dx * ux + dy * uy, F.lit(0.0), length)
-    off0, off1 = _slab(wx * -uy + wy * ux, dx * -uy + dy * ux, -r, r)
-    both = along0.isNotNull() & off0.isNotNull()
-    lo_s = F.when(both, F.greatest(along0, off0, F.lit(0.0)))
-    hi_s = F.when(both, F.least(along1, off1, F.lit(1.0)))
-    pairs = [(lo_a, hi_a), (lo_b, hi_b), (lo_s, hi_s)]
-    return (
-        F.least(*[F.when(hi > lo, lo) for lo, hi in pairs]),
-        F.greatest(*[F.when(hi > lo, hi) for lo, hi in pairs]),
+    x1, y1, x2, y2 = (F.col(c) for c in part)
+    ax, ay, bx, by = (F.col(c) for c in line)
+    keep = df.columns
+    dx, dy, ex, ey = x2 - x1, y2 - y1, bx - ax, by - ay
+    fx, fy, gx, gy = x1 - ax, y1 - ay, x1 - bx, y1 - by
+    rr = F.lit(float(r) * float(r))
+    df = settle(
+        df,
+        _a=dx * dx + dy * dy,
+        _len=F.sqrt(ex * ex + ey * ey),
+        _b1=fx * dx + fy * dy,
+        _c1=fx * fx + fy * fy - rr,
+        _b2=gx * dx + gy * dy,
+        _c2=gx * gx + gy * gy - rr,
+        _p=fx * ex + fy * ey,
+        _v=dx * ex + dy * ey,
+        _q=fy * ex - fx * ey,
+        _w=dy * ex - dx * ey,
+    ).filter("_a > 0")
+    # Across the line the bounds are -r and r; multiplied by its length like _q and _w.
+    reach = F.col("_len") * F.lit(float(r))
+    line_is_long = F.col("_len") > 0
+    along = _slab(F.col("_p"), F.col("_v"), F.lit(0.0), F.col("_len") * F.col("_len"))
+    across = _slab(F.col("_q"), F.col("_w"), -reach, reach)
+    df = settle(
+        df,
+        _r1=F.sqrt(F.greatest(F.col("_b1") * F.col("_b1") - F.col("_a") * F.col("_c1"), F.lit(0.0))),
+        _r2=F.sqrt(F.greatest(F.col("_b2") * F.col("_b2") - F.col("_a") * F.col("_c2"), F.lit(0.0))),
+        _s0=F.when(line_is_long, along["first"]),
+        _s1=F.when(line_is_long, along["last"]),
+        _t0=F.when(line_is_long, across["first"]),
+        _t1=F.when(line_is_long, across["last"]),
+    )
+    both = F.col("_s0").isNotNull() & F.col("_t0").isNotNull()
+    zero, one = F.lit(0.0), F.lit(1.0)
+    df = settle(
+        df,
+        _l1=F.greatest(zero, (-F.col("_b1") - F.col("_r1")) / F.col("_a")),
+        _h1=F.least(one, (F.col("_r1") - F.col("_b1")) / F.col("_a")),
+        _l2=F.greatest(zero, (-F.col("_b2") - F.col("_r2")) / F.col("_a")),
+        _h2=F.least(one, (F.col("_r2") - F.col("_b2")) / F.col("_a")),
+        _l3=F.when(both, F.greatest(zero, "_s0", "_t0")),
+        _h3=F.when(both, F.least(one, "_s1", "_t1")),
+    )
+    cuts = [(F.col(f"_l{i}"), F.col(f"_h{i}")) for i in (1, 2, 3)]
+    df = settle(
+        df,
+        **{
+            lo: F.least(*[F.when(h > low, low) for low, h in cuts]),
+            hi: F.greatest(*[F.when(h > low, h) for low, h in cuts]),
+        },
     )
+    return df.select(*keep, lo, hi).filter(F.col(hi) > F.col(lo))
 
 
 def _turn(ax, ay, bx, by, cx, cy) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import capsule_interval, circle_interval
+from siterank.functions.geometry import settle, with_capsule_interval, with_circle_interval
 from siterank.operators.grid import BOX, candidates, with_box
 from siterank.operators.within import GEOMETRY
 
@@ -25,8 +25,7 @@ def clip_to_radius(sites: DataFrame, segs: DataFrame, radius: float, keep: list[
     feats = with_box(segs.select("line_id", "seg_no", *keep, *ENDS), "segment", radius)
     probes = sites.select("site_id", "x", "y")
     near = candidates(probes, feats, ["site_id"], ENDS)
-    lo, hi = circle_interval(F.col("x"), F.col("y"), F.lit(float(radius)), *[F.col(c) for c in ENDS])
-    parts = near.withColumn("t_lo", lo).withColumn("t_hi", hi).filter(F.col("t_hi") > F.col("t_lo"))
+    parts = with_circle_interval(near, "x", "y", radius, ENDS, "t_lo", "t_hi")
     length = F.sqrt(_square("x2", "x1") + _square("y2", "y1")) * (F.col("t_hi") - F.col("t_lo"))
     return parts.select("site_id", "line_id", "seg_no", *keep, "t_lo", "t_hi", length.alias("len_m"))
 
@@ -66,10 +65,9 @@ def merge_overlaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
     at least one multiple always lies inside. Copies and heavy overlaps collapse before any sort.
     """
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.col("hi") - F.col("lo"))) - 1)
+    stepped = settle(intervals.filter(F.col("hi") > F.col("lo")), _step=step)
     return (
-        intervals.filter(F.col("hi") > F.col("lo"))
-        .withColumn("_step", step)
-        .withColumn("_anchor", F.ceil(F.col("lo") / F.col("_step")))
+        stepped.withColumn("_anchor", F.ceil(F.col("lo") / F.col("_step")))
         .groupBy(*keys, "_step", "_anchor")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .drop("_step", "_anchor")
@@ -125,8 +123,7 @@ def erase_near(segs: DataFrame, eraser: DataFrame, radius: float, key: list[str]
         *part_key, *ENDS, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")
     )
     near = candidates(probes, lines, part_key, list(names))
-    lo, hi = capsule_interval(*[F.col(c) for c in ENDS], F.lit(float(radius)), *[F.col(n) for n in names])
-    hidden = near.select(*part_key, lo.alias("lo"), hi.alias("hi")).filter(F.col("hi") > F.col("lo"))
+    hidden = with_capsule_interval(near, ENDS, radius, list(names), "lo", "hi").select(*part_key, "lo", "hi")
     # Two empty intervals, before and after each part, stand for its ends: the gaps between are what is kept.
     ends = parts.select(*part_key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("lo")).withColumn("hi", F.col("lo"))
     cover = merge_overlaps(hidden, part_key).unionByName(ends)

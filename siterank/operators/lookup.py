@@ -35,7 +35,7 @@ def lookup_within(sites: DataFrame, lookups: list[Lookup], kind: str) -> DataFra
         part = look.rows.select(
             *geometry_columns(kind),
             F.lit(float(look.radius)).alias("reach"),
-            F.struct(F.col(look.id).alias("id"), *[F.col(c).alias(n) for n, c in look.take.items()]).alias(f"_l{i}"),
+            F.struct(F.col(look.id).alias("_id"), *[F.col(c).alias(n) for n, c in look.take.items()]).alias(f"_l{i}"),
         )
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     marks = [f"_l{i}" for i in range(len(lookups))]
@@ -80,7 +80,7 @@ def nearest(
     light = is_small(rows.select(*geometry_columns(kind), *[F.col(c) for c in sorted({id, *take.values()})]))
     feats = with_box(
         rows.groupBy(*geometry_columns(kind)).agg(
-            F.min(F.struct(F.col(id).alias("id"), *[F.col(c).alias(n) for n, c in take.items()])).alias("_f")
+            F.min(F.struct(F.col(id).alias("_id"), *[F.col(c).alias(n) for n, c in take.items()])).alias("_f")
         ),
         kind,
         0.0,
