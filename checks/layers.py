@@ -188,11 +188,11 @@ def areas(spark, d) -> DataFrame:
     return table(spark, d, "part").select(
         k.alias("id"),
         size.alias("size"),
-        price.alias("popden2014"),
-        (price + size).alias("popden2040"),
-        (size * 2.0).alias("empden2014"),
-        (size * 3.0).alias("empden2040"),
-        (size / 100.0).alias("bike_walk_modeshare"),
+        (price / 97.0).alias("popden2014"),
+        ((price + size) / 97.0).alias("popden2040"),
+        (size * 2.0 / 97.0).alias("empden2014"),
+        (size * 3.0 / 97.0).alias("empden2040"),
+        (size / 97.0).alias("bike_walk_modeshare"),
         ((k % 17) / 17.0).alias("seniors_per"),
         F.when(k % 13 != 0, (k % 13) / 13.0).alias("pop_under_15_per"),
         ((k % 7) / 7.0).alias("zero_car_housing_units_per"),

@@ -123,9 +123,9 @@ LAYERS = {
         300.0::DOUBLE AS side FROM supplier""",
     "areas": f"""SELECT p_partkey AS id, p_size AS size, {spot('p_partkey', 3571)} AS ax,
         {spot('p_partkey', 9973)} AS ay, (300 + 20 * p_size)::DOUBLE AS w,
-        p_retailprice AS popden2014, p_retailprice + p_size AS popden2040,
-        p_size * 2.0::DOUBLE AS empden2014, p_size * 3.0::DOUBLE AS empden2040,
-        p_size / 100.0::DOUBLE AS bike_walk_modeshare, p_partkey % 17 / 17.0::DOUBLE AS seniors_per,
+        p_retailprice / 97.0::DOUBLE AS popden2014, (p_retailprice + p_size) / 97.0::DOUBLE AS popden2040,
+        p_size * 2.0::DOUBLE / 97.0::DOUBLE AS empden2014, p_size * 3.0::DOUBLE / 97.0::DOUBLE AS empden2040,
+        p_size / 97.0::DOUBLE AS bike_walk_modeshare, p_partkey % 17 / 17.0::DOUBLE AS seniors_per,
         CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 13 / 13.0::DOUBLE END AS pop_under_15_per,
         p_partkey % 7 / 7.0::DOUBLE AS zero_car_housing_units_per,
         p_partkey % 19 / 19.0::DOUBLE AS ppl_of_color_percent FROM part""",

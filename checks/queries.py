@@ -11,7 +11,7 @@ from siterank.plans import build_roster, feature_matrix, label_sites, prioritize
 from siterank.plans.features import (
     CORRIDOR, CRASH, DEMOGRAPHICS, HALF, QUARTER, TAZ, count_if, facility_counts, line_miles, rail_volume, tallied,
 )
-from siterank.plans.roster import all_additions, extended_crossings, missed_removals
+from siterank.plans.roster import all_additions, all_removals, extended_crossings, missed_removals
 from siterank.sources import point_rows, stage, write_sites
 from siterank.sources.staging import stage_root
 
@@ -271,7 +271,8 @@ def extended_crossing_layer(spark, d):
 
 @query
 def additions(spark, d):
-    return all_additions(L.roster_inputs(spark, d))
+    inputs = L.roster_inputs(spark, d)
+    return all_additions(inputs, all_removals(inputs))
 
 
 @query

@@ -85,21 +85,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     now = stage(oriented, "edges")
-    mark = _fingerprint(now)
-    while mark[0]:
+    while not _only_stars(now):
         after = stage(_small_star(_large_star(now)), "edges")
         drop_stage(now)
-        now, before, mark = after, mark, _fingerprint(after)
-        if mark == before:
-            break
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _only_stars(edges: DataFrame) -> bool:
+    """Is every node either tied to exactly one root, or a root itself?"""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    seen = roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return seen.filter("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
 def cluster_lines(segs: DataFrame, status: str = "status") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,18 +139,30 @@ def flag_within(sites: DataFrame, rows: DataFrame, radius: float, name: str, kin
     return hit.select("site_id", F.when(F.col("_n") > 0, F.lit(value)).otherwise(F.lit(0)).alias(name))
 
 
-def _marked(sites: DataFrame, rows: DataFrame, radius: float, kind: str) -> DataFrame:
-    return sites.join(flag_within(sites, rows, radius, "_hit", kind), "site_id")
+def _marked(sites: DataFrame, layers: list[Layer]) -> DataFrame:
+    """Sites with _hits, how many features of any layer are near."""
+    each = [
+        Layer(layer.rows, layer.radius, {f"_n{i}": F.lit(1).cast("bigint")}, layer.kind)
+        for i, layer in enumerate(layers)
+    ]
+    names = [f"_n{i}" for i in range(len(layers))]
+    hits = tally(sites, each).select("site_id", reduce(add, [F.col(n) for n in names]).alias("_hits"))
+    return sites.join(hits, "site_id")
+
+
+def exclude_near_any(sites: DataFrame, layers: list[Layer]) -> DataFrame:
+    """The sites that no layer comes near to, each layer with its own radius, in one pass over the sites."""
+    return _marked(sites, layers).filter("_hits = 0").select(*sites.columns)
 
 
 def exclude_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
     """The sites with no feature within the radius. An empty layer keeps all sites."""
-    return _marked(sites, rows, radius, kind).filter("_hit = 0").select(*sites.columns)
+    return exclude_near_any(sites, [Layer(rows, radius, kind=kind)])
 
 
 def keep_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
     """The sites with any feature within the radius."""
-    return _marked(sites, rows, radius, kind).filter("_hit = 1").select(*sites.columns)
+    return _marked(sites, [Layer(rows, radius, kind=kind)]).filter("_hits > 0").select(*sites.columns)
 
 
 def points_in_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:

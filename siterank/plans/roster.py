@@ -14,7 +14,7 @@ from siterank.operators.roster import (
     dedupe_points,
     site_key,
 )
-from siterank.operators.within import exclude_within, keep_within
+from siterank.operators.within import Layer, exclude_near_any, exclude_within, keep_within
 from siterank.sources.layers import point_rows
 from siterank.sources.staging import stage
 
@@ -50,11 +50,11 @@ def with_site_id(points: DataFrame) -> DataFrame:
     return points.withColumn("site_id", site_key())
 
 
-def all_additions(inputs: RosterInputs) -> DataFrame:
+def all_additions(inputs: RosterInputs, removals: DataFrame) -> DataFrame:
     """Points to add, without those that are also to be removed."""
     study = inputs.study_additions.select("x", "y", F.lit(inputs.addition_tag).alias("point_type"))
     both = dedupe_points(study.unionByName(edit_additions(inputs)))
-    return exclude_within(with_site_id(both), all_removals(inputs), SAME_PLACE).drop("site_id")
+    return exclude_within(with_site_id(both), removals, SAME_PLACE).drop("site_id")
 
 
 def extended_crossings(crossings: DataFrame, existing: DataFrame, tag: str) -> DataFrame:
@@ -66,22 +66,24 @@ def extended_crossings(crossings: DataFrame, existing: DataFrame, tag: str) -> D
 
 
 def build_roster(inputs: RosterInputs) -> DataFrame:
-    """(site_id, x, y, point_type). Every step is a spatial join on the grid; site_id is a hash of the place.
+    """(site_id, x, y, point_type). site_id is a hash of the place.
 
-    The three point layers that remove within two metres are handled by one join at the end each where the
-    order matters, and the roster in between is written once, because later steps read it several times."""
+    Base points and additions each pass one spatial join against all that excludes them. The merged points
+    are written once before the last checks, which read them twice.
+    """
     removals = stage(all_removals(inputs), "removals")
     existing = point_rows(inputs.existing.select("points"))
     base = with_site_id(dedupe_points(inputs.base))
-    kept = exclude_within(exclude_within(base, removals, SAME_PLACE), existing, EXISTING_REACH)
-    points = kept.select("x", "y", "point_type").unionByName(all_additions(inputs)).unionByName(edit_additions(inputs))
+    kept = exclude_near_any(base, [Layer(removals, SAME_PLACE), Layer(existing, EXISTING_REACH)])
+    added = all_additions(inputs, removals)
+    points = kept.select("x", "y", "point_type").unionByName(added).unionByName(edit_additions(inputs))
     unique = dedupe_points(points).fillna({"point_type": inputs.addition_tag})
+    merged = stage(with_site_id(unique), "merged")
     gone = removals.unionByName(inputs.late_removals.select("x", "y"))
-    left = exclude_within(with_site_id(unique), gone, SAME_PLACE)
-    left = exclude_within(left, inputs.removal_areas, 0.0, "area")
+    left = exclude_near_any(merged, [Layer(gone, SAME_PLACE), Layer(inputs.removal_areas, 0.0, kind="area")])
     late = inputs.late_additions.select("x", "y", F.lit(inputs.late_tag).alias("point_type"))
-    merged = dedupe_points(left.select("x", "y", "point_type").unionByName(late))
-    return with_site_id(merged).select("site_id", "x", "y", "point_type")
+    everything = dedupe_points(left.select("x", "y", "point_type").unionByName(late))
+    return with_site_id(everything).select("site_id", "x", "y", "point_type")
 
 
 def missed_removals(inputs: RosterInputs) -> DataFrame:
