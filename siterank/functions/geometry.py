@@ -51,21 +51,60 @@ def ring_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, edges_of))
 
 
+def _edge_case(x: Column, y: Column, e: Column, start: Column, end: Column, side: Column) -> Column:
+    """One of three values for a point beside an edge: it is nearest to its start, its end or its side."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    dot = (x - e["x1"]) * dx + (y - e["y1"]) * dy
+    return F.when(dot <= 0, start).when(dot >= dx * dx + dy * dy, end).otherwise(side)
+
+
+def _off_line(x: Column, y: Column, e: Column) -> Column:
+    """Squared cross product of an edge and the way to the point: 0 exactly on the edge's line."""
+    cross = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
+    return F.pow(cross, F.lit(2.0))
+
+
+def _edge_length2(e: Column) -> Column:
+    return point_dist2(e["x1"], e["y1"], e["x2"], e["y2"])
+
+
+def area_edge_near(x: Column, y: Column, edges: Column, reach2: Column) -> Column:
+    """Does any edge come within the (squared) reach? Without division, so exact for whole numbers."""
+    return F.exists(
+        edges,
+        lambda e: _edge_case(
+            x, y, e,
+            point_dist2(x, y, e["x1"], e["y1"]) <= reach2,
+            point_dist2(x, y, e["x2"], e["y2"]) <= reach2,
+            _off_line(x, y, e) <= reach2 * _edge_length2(e),
+        ),
+    )
+
+
+def area_holds(x: Column, y: Column, edges: Column) -> Column:
+    """Is the point inside, by the parity of edges crossed on the way east? Holes count by parity too."""
+
+    def crossed(e: Column) -> Column:
+        west = (x - e["x1"]) * (e["y2"] - e["y1"]) < (y - e["y1"]) * (e["x2"] - e["x1"])
+        return ((e["y1"] > y) != (e["y2"] > y)) & (west == (e["y2"] > e["y1"]))
+
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crossed(e))
+
+
 def area_dist2(x: Column, y: Column, edges: Column) -> Column:
-    """Squared distance from a point to an area with closed boundary, 0 inside. Holes count by parity."""
-
-    def step(acc: Column, e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        rise = F.when(spans, e["y2"] - e["y1"])
-        right = x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / rise
-        crossed = F.coalesce(spans & right, F.lit(False))
-        return F.struct(
-            (acc["inside"] != crossed).alias("inside"),
-            F.least(acc["d2"], segment_dist2(x, y, e["x1"], e["y1"], e["x2"], e["y2"])).alias("d2"),
+    """Squared distance from a point to an area, 0 inside."""
+    rim = F.array_min(
+        F.transform(
+            edges,
+            lambda e: _edge_case(
+                x, y, e,
+                point_dist2(x, y, e["x1"], e["y1"]),
+                point_dist2(x, y, e["x2"], e["y2"]),
+                _off_line(x, y, e) / _edge_length2(e),
+            ),
         )
-
-    start = F.struct(F.lit(False).alias("inside"), F.lit(float("inf")).alias("d2"))
-    return F.aggregate(edges, start, step, lambda acc: F.when(acc["inside"], F.lit(0.0)).otherwise(acc["d2"]))
+    )
+    return F.when(area_holds(x, y, edges), F.lit(0.0)).otherwise(rim)
 
 
 def settle(df: DataFrame, **cols: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siterank.functions.geometry import box_dist2, box_far_dist2
 from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, with_box
 from siterank.operators.skew import split_join
-from siterank.operators.within import GEOMETRY, dist2, geometry_columns, near_features
+from siterank.operators.within import GEOMETRY, dist2, geometry_columns, near_features, with_dist2
 from siterank.sources.staging import stage
 
 
@@ -42,8 +42,7 @@ def lookup_within(sites: DataFrame, lookups: list[Lookup], kind: str) -> DataFra
     probes = sites.select("site_id", "x", "y")
     radii = [float(look.radius) for look in lookups]
     near = near_features(probes, stacked, kind, [F.min(m).alias(m) for m in marks], radii)
-    near = near.withColumn("_d2", dist2(kind))
-    near = near.filter(F.col("_d2") <= F.col("reach") * F.col("reach"))
+    near = with_dist2(near, kind)
     best = near.groupBy("site_id").agg(
         *[F.min(F.when(F.col(m).isNotNull(), F.struct("_d2", F.col(m)))).alias(m) for m in marks]
     )

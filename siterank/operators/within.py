@@ -9,8 +9,17 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import area_dist2, point_dist2, segment_dist2
-from siterank.operators.grid import candidates, is_small, point_level, with_box
+from siterank.functions.geometry import (
+    area_dist2,
+    area_edge_near,
+    area_holds,
+    box_dist2,
+    box_far_dist2,
+    point_dist2,
+    segment_dist2,
+    settle,
+)
+from siterank.operators.grid import BOX, candidates, is_small, point_level, with_box
 
 GEOMETRY = {"point": ["px", "py"], "segment": ["x1", "y1", "x2", "y2"], "area": ["edges"]}
 
@@ -46,7 +55,27 @@ def dist2(kind: str) -> Column:
 
 
 def is_near(kind: str) -> Column:
-    return dist2(kind) <= F.col("reach") * F.col("reach")
+    """The exact test. The ring of an area is walked only where its box and its first corner do not already
+    decide: arrays are interpreted, the rest is compiled."""
+    reach2 = F.col("reach") * F.col("reach")
+    if kind != "area":
+        return dist2(kind) <= reach2
+    x, y, box = F.col("x"), F.col("y"), [F.col(c) for c in BOX]
+    corner = F.get("edges", F.lit(0))
+    return (
+        F.when(box_dist2(x, y, *box) > reach2, F.lit(False))
+        .when(box_far_dist2(x, y, *box) <= reach2, F.lit(True))
+        .when(point_dist2(x, y, corner["x1"], corner["y1"]) <= reach2, F.lit(True))
+        .otherwise(area_edge_near(x, y, F.col("edges"), reach2) | area_holds(x, y, F.col("edges")))
+    )
+
+
+def with_dist2(near: DataFrame, kind: str) -> DataFrame:
+    """Keep the pairs within reach and add _d2, worked out once per pair."""
+    reach2 = F.col("reach") * F.col("reach")
+    if kind == "area":
+        near = near.filter(is_near(kind))
+    return settle(near, _d2=dist2(kind)).filter(F.col("_d2") <= reach2)
 
 
 def near_features(probes: DataFrame, stacked: DataFrame, kind: str, aggs: list[Column], radii: list[float]) -> DataFrame:
@@ -177,8 +206,8 @@ def pairs_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str, ca
     the number of pairs; use the tallies above where only totals are wanted."""
     feats = with_box(rows.select(*carry, *geometry_columns(kind)), kind, radius)
     probes = sites.select("site_id", "x", "y")
-    near = candidates(probes, feats, ["site_id"], GEOMETRY[kind]).filter(is_near(kind))
-    return near.select("site_id", *carry, F.sqrt(dist2(kind)).alias("dist"))
+    near = with_dist2(candidates(probes, feats, ["site_id"], GEOMETRY[kind]), kind)
+    return near.select("site_id", *carry, F.sqrt("_d2").alias("dist"))
 
 
 def clusters_within(sites: DataFrame, layers: dict[str, DataFrame], radius: float) -> DataFrame:
