@@ -57,11 +57,11 @@ def clip_miles(sites: DataFrame, segs: DataFrame, radius: float, filters: dict[s
     return sites.select("site_id").join(miles, "site_id", "left").fillna(0.0, list(filters))
 
 
-def merge_overlaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
+def merge_overlaps(intervals: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """First pass of an interval union over (keys, lo, hi), as a plain min and max with map-side combine.
 
     Intervals that share a point form one interval, so all intervals that hold the same anchor can be
-    joined. The anchor is the first multiple of a power of two, chosen no wider than half the interval:
+    joined (`carry` columns keep their smallest value). The anchor is the first multiple of a power of two, chosen no wider than half the interval:
     at least one multiple always lies inside. Copies and heavy overlaps collapse before any sort.
     """
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.col("hi") - F.col("lo"))) - 1)
@@ -69,7 +69,7 @@ def merge_overlaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return (
         stepped.withColumn("_anchor", F.ceil(F.col("lo") / F.col("_step")))
         .groupBy(*keys, "_step", "_anchor")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.min(c).alias(c) for c in carry])
         .drop("_step", "_anchor")
     )
 
@@ -80,9 +80,9 @@ def _running(keys: list[str]) -> Column:
     return F.max("hi").over(w)
 
 
-def union_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lo, hi): disjoint parts with the same cover as the given intervals."""
-    merged = merge_overlaps(intervals, keys).withColumn("_prev", _running(keys))
+def union_intervals(intervals: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lo, hi, carry): disjoint parts with the same cover as the given intervals."""
+    merged = merge_overlaps(intervals, keys, carry).withColumn("_prev", _running(keys))
     fresh = F.greatest("lo", F.coalesce("_prev", "lo"))
     return merged.withColumn("lo", fresh).filter(F.col("hi") > F.col("lo")).drop("_prev")
 
@@ -163,25 +163,28 @@ def dissolve_pieces(segs: DataFrame, keys: list[str], chunk: float = 1000.0) ->
         .withColumns({"_ux": turned * dx / size, "_uy": turned * dy / size})
         .withColumns(
             {
-                "_off": F.round(F.col("x1") * F.col("_uy") - F.col("y1") * F.col("_ux"), 6) + 0.0,
+                "_off": F.col("x1") * F.col("_uy") - F.col("y1") * F.col("_ux"),
                 "_s1": F.col("x1") * F.col("_ux") + F.col("y1") * F.col("_uy"),
                 "_s2": F.col("x2") * F.col("_ux") + F.col("y2") * F.col("_uy"),
-                "_ux": F.round("_ux", 11) + 0.0,
-                "_uy": F.round("_uy", 11) + 0.0,
             }
         )
         .withColumns({"_from": F.least("_s1", "_s2"), "_to": F.greatest("_s1", "_s2")})
     )
-    line = [*keys, "_ux", "_uy", "_off"]
+    # Lines are told apart by rounded values; positions come from the unrounded ones.
+    exact = ("_ux", "_uy", "_off")
+    rounded = {f"_line{c}": F.round(c, digits) + 0.0 for c, digits in zip(exact, (11, 11, 6))}
+    line = [*keys, *rounded]
     step = F.lit(float(chunk))
-    runs = lines.withColumn(
-        "_chunk", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step)))
-    ).select(
-        *line, "_chunk",
-        F.greatest("_from", F.col("_chunk") * step).alias("lo"),
-        F.least("_to", (F.col("_chunk") + 1) * step).alias("hi"),
+    runs = (
+        lines.withColumns(rounded)
+        .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))
+        .select(
+            *line, *exact, "_chunk",
+            F.greatest("_from", F.col("_chunk") * step).alias("lo"),
+            F.least("_to", (F.col("_chunk") + 1) * step).alias("hi"),
+        )
     )
-    once = union_intervals(runs, [*line, "_chunk"])
+    once = union_intervals(runs, [*line, "_chunk"], exact)
 
     def xy(s: str) -> tuple[Column, Column]:
         s = F.col(s)
@@ -193,7 +196,7 @@ def dissolve_pieces(segs: DataFrame, keys: list[str], chunk: float = 1000.0) ->
     (x1, y1), (x2, y2) = xy("lo"), xy("hi")
     return once.select(
         *keys,
-        F.xxhash64("_ux", "_uy", "_off").alias("line_id"),
+        F.xxhash64(*rounded).alias("line_id"),
         F.xxhash64("_chunk", "lo").alias("seg_no"),
         x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
     )
