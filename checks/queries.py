@@ -428,7 +428,7 @@ def priority_score(spark, d):
 
 
 def _rankable(spark, d):
-    return rounded(_few_scored(spark, d).select("site_id", "x", "y", "county", "priority_score"))
+    return stage(rounded(_few_scored(spark, d).select("site_id", "x", "y", "county", "priority_score")), "scored")
 
 
 @query
@@ -443,7 +443,7 @@ def county_rank(spark, d):
 
 @query
 def rank_against(spark, d):
-    everyone = stage(_rankable(spark, d), "ranked")
+    everyone = _rankable(spark, d)
     river = labels.major_river_flag(L.sites(spark, d), L.of_source(spark, d, "Streams")).filter("major_river is null")
     away = everyone.join(river.select("site_id"), "site_id")
     return ranking.rank_against(everyone, away).select("site_id", "county", "county_priority_rank")

@@ -49,7 +49,9 @@ def rank_rows(
     part: list[str] | None = None,
     id: str = "site_id",
 ) -> DataFrame:
-    """Add the rank (ties share it, gaps follow) of each row by `order` over `keys`, within groups `part`."""
+    """Add the rank (ties share it, gaps follow) of each row by `order` over `keys`, within groups `part`.
+
+    df is read twice, so pass a staged table where it is costly to work out."""
     part = part or []
     places = _positions(df, keys, order, part).select(
         *part, *keys, (F.col("_before") + 1).cast("bigint").alias(name)
