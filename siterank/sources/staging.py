@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_root: str | None = None
+
+
 def stage_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a local session without one gets its own."""
+    global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="siterank-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if _own_root is None:
+        _own_root = tempfile.mkdtemp(prefix="siterank-")
+    return _own_root
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:

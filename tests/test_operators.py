@@ -4,10 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siterank.operators import clusters, grid, ranking, roster, scaling, skew, within
-from siterank.sources import read_layer
-from pyspark.sql import types as T
+from siterank.sources import read_layer, staging
 
 
 def crowd(spark, n, seed, prefix):
@@ -154,3 +154,25 @@ def test_layer_schema_is_checked(spark, tmp_path):
     assert read_layer(spark, str(tmp_path / "t"), good).count() == 3
     with pytest.raises(ValueError, match="name"):
         read_layer(spark, str(tmp_path / "t"), T.StructType([T.StructField("name", T.StringType())]))
+
+
+class _Conf:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def get(self, key, default=None):
+        return self.folder or default
+
+
+class _Session:
+    def __init__(self, folder, master):
+        self.conf = _Conf(folder)
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_staged_tables_go_to_the_shared_folder():
+    assert staging.stage_root(_Session("hdfs://shared/", "yarn")) == "hdfs://shared"
+    own = staging.stage_root(_Session(None, "local[2]"))
+    assert own == staging.stage_root(_Session(None, "local[2]"))
+    with pytest.raises(ValueError):
+        staging.stage_root(_Session(None, "yarn"))
