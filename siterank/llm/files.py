@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -29,3 +33,17 @@ def store_of(folder: str) -> tuple[fs.FileSystem, str]:
     if local or "://" not in folder:
         return fs.LocalFileSystem(), local[1] if local else folder
     return fs.FileSystem.from_uri(folder)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in batches whose texts have at most `most` bytes, or one row each if longer."""
+    for batch in batches:
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += int(size)
+        if start < len(sizes):
+            yield batch.slice(start)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siterank.llm.files import small_batches
+from siterank.llm.files import slices, small_batches
+from siterank.llm.tokens import bytes_of
 
 PASSAGE = 1024  # bytes, at least
 PASSAGES = 32  # a longer text has longer passages, not more of them and not less text
@@ -162,16 +163,6 @@ class Constant:
         return {"y": np.full(docs, self.value)}
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without NULLs, and where each value starts."""
-    wide = column.cast(pa.large_binary())
-    _, offsets, data = wide.buffers()
-    starts = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
-    if data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(wide) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
-
-
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE):
     """A model from labelled documents. Of each label up to sample / 2 ids are taken, and more of the one where the
     other has fewer; weights give both their share among all labels again. Conflicting labels of an id go by their
@@ -194,15 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, doc = encode(*_bytes_of(batch.column("body")))
-                cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                rows = [x[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.binary()), batch.column("id"), batch.column("label"), batch.column("weight")],
-                    names=["bag", "id", "label", "weight"],
-                )
+        for batch in slices(batches, "body"):
+            x, doc = encode(*bytes_of(batch.column("body")))
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            rows = [x[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.binary()), batch.column("id"), batch.column("label"), batch.column("weight")],
+                names=["bag", "id", "label", "weight"],
+            )
 
     # at most `sample` ids; a document is PASSAGES * WIDTH floats at most, whatever its length
     rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")).join(
@@ -229,10 +219,8 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> Da
     small_batches(docs.sparkSession)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, doc = encode(*_bytes_of(batch.column("__body")))
+        for batch in slices(batches, "__body"):
+            x, doc = encode(*bytes_of(batch.column("__body")))
             y = pa.array(model.forward(x, doc, batch.num_rows)["y"].astype(np.float64))
             kept = [c for c in batch.schema.names if c != "__body"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), y], names=[*kept, name])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siterank.llm import language, quality
 from siterank.llm.chat import format_messages, read_back, text_part
 from siterank.llm.exact_dedup import exact_groups
+from siterank.llm.near_dedup import near_groups
 from siterank.llm.url_filter import judge_urls
 from siterank.llm.warc import read_archives, record_types, write_archives
 
@@ -92,6 +93,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 percent of their two-word shingles."""
+    return near_groups(_table(spark, sf_dir, "documents"), width=2, similarity=80)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -99,6 +105,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_language": op5_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE = {
