@@ -9,6 +9,7 @@ from siterank.llm import language, quality
 from siterank.llm.chat import format_messages, read_back, text_part
 from siterank.llm.exact_dedup import exact_groups
 from siterank.llm.near_dedup import near_groups
+from siterank.llm.packing import pack
 from siterank.llm.url_filter import judge_urls
 from siterank.llm.warc import read_archives, record_types, write_archives
 
@@ -98,6 +99,18 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), width=2, similarity=80)
 
 
+def tokenizer() -> str:
+    """The file of the public byte-level BPE tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -106,6 +119,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
