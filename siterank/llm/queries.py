@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siterank.llm import language, quality
 from siterank.llm.chat import format_messages, read_back, text_part
+from siterank.llm.decontaminate import contaminated
 from siterank.llm.exact_dedup import exact_groups
 from siterank.llm.near_dedup import near_groups
 from siterank.llm.packing import pack
@@ -94,6 +95,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with changed parameters or without, and the item."""
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 percent of their two-word shingles."""
     return near_groups(_table(spark, sf_dir, "documents"), width=2, similarity=80)
@@ -118,6 +125,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_language": op5_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
 }
