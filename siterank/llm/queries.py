@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siterank.llm import language, quality
+from siterank.llm import language, lm, quality
 from siterank.llm.chat import format_messages, read_back, text_part
 from siterank.llm.decontaminate import contaminated
 from siterank.llm.exact_dedup import exact_groups
@@ -88,6 +88,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token log-probabilities of every document; learned outside of the held-out tenth."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, _rest("doc_id", 10) != 0).select(
+        "doc_id", (_rest("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts and the row of it that stays."""
     return exact_groups(_table(spark, sf_dir, "documents")).select(
@@ -124,6 +132,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
     "op5_language": op5_language,
+    "op6_lm": op6_lm,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
