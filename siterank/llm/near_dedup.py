@@ -6,9 +6,11 @@ pair, and independent trees are repeated until a pair at the wanted similarity i
 MISS. Pairs whose sketches are alike are candidates; links are candidates confirmed on the full sets. Documents with
 one and the same set are one point from the start, so copies are never paired.
 
-A node that does not come apart (very many documents that are all alike) is tied to one document of it first. Once
-the links found so far are joined to components, it is visited again, and only pairs of different components are
-compared, all of them. Nothing is capped.
+Where many documents are all alike a node does not come apart. Its core, the documents like its middle one, is tied
+to that one, and branching goes on with those that are not nearly the same as the middle; a link lies in one of the
+two. Cores that share documents are a crowd. Once the links found so far are joined to components, every document
+of a crowd outside of its largest component is compared with all of other components on the full sets, in blocks of
+bounded size, and only links that join components go out. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -22,19 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siterank.llm.bitmap import bitmap, holds, slot
+from siterank.llm.components import connected
 from siterank.llm.files import slices, small_batches
 from siterank.llm.tokens import bytes_of, mix, shingle_sets
-from siterank.operators.clusters import components
 from siterank.sources.staging import stage
 
 WIDTH, SIMILARITY = 5, 80  # words of a shingle; percent of the union that must be common
 PLACES = 64  # minwise values of a sketch, 16 bits each
 MISS = 1e-6  # chance to miss a pair at the wanted similarity
 LEAF = 64  # a node of at most so many documents is compared pair by pair
-DENSE = 0.5  # a node whose largest child keeps more than this share does not come apart
+DENSE = 0.5  # a node whose largest child keeps more than this share may not come apart
+CORE, REST = 0.4, 0.85  # its core agrees with the middle from this share on; below that share documents go on
 DEEPEST = 12
 NODE_ROWS = 100_000  # a larger first-level node is branched by further shuffles before it goes to a task
 SPLITS = 4
+OUTSIDERS, OTHERS = 512, 4096  # documents of a crowd that one task compares with each other
 
 _draw = np.random.default_rng(64)
 _XOR = _draw.integers(0, 2**32, PLACES, dtype=np.uint32)
@@ -131,36 +135,31 @@ def _nodes(points: DataFrame, limit: int) -> DataFrame:
 class _Node:
     """The documents of one first-level node, in one task."""
 
-    def __init__(self, ids, sizes, sketch, least: int, similarity: int, children: int, roots=None):
-        self.ids, self.sizes, self.sketch, self.roots = ids, sizes, sketch, roots
-        self.least, self.similarity, self.children = least, similarity, children
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, similarity: int):
+        self.ids, self.sizes, self.sketch, self.similarity = ids, sizes.astype(np.int64), sketch, similarity
+        self.children, _, alike = plan(similarity)
+        self.least = ceil(alike * PLACES)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
-        self.dense = False
+        self.cores: list[tuple[int, np.ndarray]] = []
 
-    def pairs(self, one: np.ndarray, all_: np.ndarray, star: bool = False) -> None:
-        """Note the pairs of one x all_ whose sketches and sizes are alike."""
-        for at in range(0, len(one), 64):
-            a = one[at : at + 64]
-            same = (self.sketch[a][:, None, :] == self.sketch[all_][None, :, :]).sum(axis=2, dtype=np.uint16)
+    def alike(self, rows: np.ndarray) -> None:
+        """Note the pairs of rows whose sketches and sizes are alike."""
+        for at in range(0, len(rows), 64):
+            a = rows[at : at + 64]
+            same = (self.sketch[a][:, None, :] == self.sketch[rows][None, :, :]).sum(axis=2, dtype=np.uint16)
             i, j = np.nonzero(same >= self.least)
-            x, y, same = a[i], all_[j], same[i, j]
-            keep = self.ids[x] != self.ids[y]
-            if not star:  # a pair may come in both orders: within `one` it does
-                keep &= (self.ids[x] < self.ids[y]) | ~np.isin(y, one)
-            if self.roots is not None:
-                keep &= self.roots[x] != self.roots[y]
+            x, y, same = a[i], rows[j], same[i, j]
             low, high = np.minimum(self.sizes[x], self.sizes[y]), np.maximum(self.sizes[x], self.sizes[y])
-            keep &= low * 100 >= high * self.similarity
-            if keep.any():
-                self.found.append((self.ids[x[keep]], self.ids[y[keep]], same[keep], star))
+            keep = (self.ids[x] < self.ids[y]) & (low * 100 >= high * self.similarity)
+            self.found.append((self.ids[x[keep]], self.ids[y[keep]], same[keep], False))
 
-    def branch(self, seed: int) -> None:
+    def compare(self, seed: int) -> None:
+        """Branch down to small nodes and cores, and note what is alike there."""
         stack = [(np.arange(len(self.ids)), seed, 0, ())]
         while stack:
             rows, seed, depth, used = stack.pop()
-            if len(rows) <= LEAF:
-                if self.roots is None:
-                    self.pairs(rows, rows)
+            if len(rows) <= LEAF or depth >= DEEPEST:
+                self.alike(rows)
                 continue
             parts, chosen = [], []
             for k in range(self.children):
@@ -172,77 +171,173 @@ class _Node:
                 order = rows[np.argsort(self.sketch[rows, c], kind="stable")]
                 cut = np.flatnonzero(np.diff(self.sketch[order, c])) + 1
                 parts += [(p, c) for p in np.split(order, cut) if len(p) > 1]
-            if depth >= DEEPEST or not chosen or max((len(p) for p, _ in parts), default=0) > DENSE * len(rows):
-                self.tie(rows)
-                continue
+            if max((len(p) for p, _ in parts), default=0) > DENSE * len(rows):
+                first = self.middle(rows)
+                same = (self.sketch[rows] == self.sketch[first]).sum(axis=1)
+                core = same >= CORE * PLACES
+                if core.sum() >= len(rows) / 4:
+                    self.cores.append((first, rows[core]))
+                    rest = rows[same < REST * PLACES]
+                    if len(rest) > 1:
+                        stack.append((rest, int(mix(np.array([seed], np.uint64))[0]), depth, used))
+                    continue
             for p, c in parts:
                 child = int(mix(np.array([seed ^ (c << 17) ^ int(self.sketch[p[0], c])], np.uint64))[0])
                 stack.append((p, child, depth + 1, (*used, c)))
 
-    def tie(self, rows: np.ndarray) -> None:
-        """A node that does not come apart: all against one of it, or, on the second visit, all documents outside
-        of its largest component against all others."""
-        self.dense = True
-        if self.roots is None:
-            first = rows[np.argmin(mix(self.ids[rows].view(np.uint64)))]
-            self.pairs(np.array([first]), rows, star=True)
-            return
-        root, of, n = np.unique(self.roots[rows], return_inverse=True, return_counts=True)
-        if len(root) > 1:
-            self.pairs(rows[of != np.argmax(n)], rows)
-
-
-CANDIDATE = "a long, b long, same int, star boolean"
-
-
-def candidates(nodes: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, same, star) of alike sketches in each node; a row with b NULL names a node that did not come apart.
-    With a column root, only pairs of different roots in such nodes."""
-    children, _, alike = plan(similarity)
-    least = ceil(alike * PLACES)
-    again = "root" in nodes.columns
-
-    def compare(node: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sum(b.num_rows for b in held)
-        if rows < 2:
-            return
-        column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
-        sketch = np.concatenate([bytes_of(b.column("sketch"))[0] for b in held]).view(np.uint16).reshape(rows, PLACES)
-        here = _Node(column("id"), column("size").astype(np.int64), sketch, least, similarity, children, column("root") if again else None)
-        here.branch(node & (2**64 - 1))
-        a, b, same, star = ([], [], [], [])
-        for x, y, s, t in here.found:
-            a.append(np.minimum(x, y)), b.append(np.maximum(x, y)), same.append(s), star.append(np.full(len(x), t))
-        if a:
-            cells = np.unique(np.stack([np.concatenate(v).astype(np.int64) for v in (a, b, same, star)]), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells[0]), pa.array(cells[1]), pa.array(cells[2], pa.int32()), pa.array(cells[3].astype(bool))],
-                names=["a", "b", "same", "star"],
-            )
-        if here.dense and not again:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node]), pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([True])],
-                names=["a", "b", "same", "star"],
-            )
+    def tie(self) -> None:
+        """Put cores that share documents together and tie each such group to the middle of its largest core, so a
+        document has one tie however often its core turned up."""
+        group, parent = np.full(len(self.ids), -1), []
+
+        def find(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = g = parent[parent[g]]
+            return g
+
+        for n, (_, rows) in enumerate(self.cores):
+            parent.append(n)
+            for g in np.unique(group[rows]):
+                if g >= 0:
+                    parent[find(int(g))] = n
+            group[rows] = n
+        by_group: dict[int, tuple[int, np.ndarray]] = {}
+        for n, (first, rows) in enumerate(self.cores):
+            g = find(n)
+            if g not in by_group or len(rows) > len(by_group[g][1]):
+                by_group[g] = first, rows
+        final = np.array([find(int(g)) if g >= 0 else -1 for g in group])
+        for g, (first, _) in by_group.items():
+            rows = np.flatnonzero((final == g) & (np.arange(len(final)) != first))
+            same = (self.sketch[rows] == self.sketch[first]).sum(axis=1)
+            self.found.append((np.full(len(rows), self.ids[first]), self.ids[rows], same, True))
+
+    def middle(self, rows: np.ndarray) -> int:
+        """The document that has most of the values which are the most frequent of their place."""
+        score = np.zeros(len(rows), np.int64)
+        for c in range(PLACES):
+            _, of, n = np.unique(self.sketch[rows, c], return_inverse=True, return_counts=True)
+            score += of == np.argmax(n)
+        best = rows[score == score.max()]
+        return int(best[np.argmin(self.ids[best])])
+
+
+def _scan(rows: DataFrame, by: str, visit, schema: str) -> DataFrame:
+    """Deal out the rows by a long and call visit with the rows of each value that has two or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column("node").to_numpy()
+            keys = batch.column(by).to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            for low, high in zip(cut, cut[1:]):
+            for low, high in zip(cut.tolist(), cut[1:].tolist()):
                 if keys[low] != now:
-                    if now is not None:
-                        yield from compare(now, held)
+                    if sum(b.num_rows for b in held) > 1:
+                        yield from visit(pa.Table.from_batches(held).combine_chunks())
                     now, held = int(keys[low]), []
                 held.append(batch.slice(low, high - low))
-        if now is not None:
-            yield from compare(now, held)
+        if sum(b.num_rows for b in held) > 1:
+            yield from visit(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(scan, schema)
+
+
+def candidates(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, same, star): pairs whose sketches agree in `same` places, from small nodes; as star, the ties of cores
+    to their middle documents, those of too little agreement included."""
+
+    def visit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sketch = bytes_of(rows.column("sketch").combine_chunks())[0].view(np.uint16).reshape(rows.num_rows, PLACES)
+        here = _Node(rows.column("id").to_numpy(), rows.column("size").to_numpy(), sketch, similarity)
+        here.compare(rows.column("node")[0].as_py() & (2**64 - 1))
+        here.tie()
+        if here.found:
+            a, b, same = (np.concatenate([f[i] for f in here.found]).astype(np.int64) for i in range(3))
+            star = np.concatenate([np.full(len(f[0]), f[3]) for f in here.found])
+            cells = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), same, star]), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells[0]), pa.array(cells[1]), pa.array(cells[2], pa.int32()), pa.array(cells[3].astype(bool))],
+                names=["a", "b", "same", "star"],
+            )
+
+    return _scan(nodes.select("node", "id", "size", "sketch"), "node", visit, "a long, b long, same int, star boolean")
+
+
+CELLS = 1 << 23  # cells of the table of common shingles that a task has at a time
+
+
+def _joining(
+    out_roots: np.ndarray, out_tokens: list[np.ndarray], roots: np.ndarray, tokens: list[np.ndarray], similarity: int
+) -> Iterator[tuple[int, int]]:
+    """Links (outsider, other) between different components, by the full sets, as far as they join components."""
+    names, of = np.unique(np.concatenate([out_roots, roots]), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    words, place = np.unique(np.concatenate(tokens), return_inverse=True)
+    lengths = np.array([len(t) for t in tokens])
+    first = np.append(0, np.cumsum(lengths))
+    step = max(1, min(64, CELLS // max(1, len(words))))
+    block = max(1, CELLS // step)  # shingles of others that are looked up at a time
+    for low in range(0, len(out_tokens), step):
+        mine = out_tokens[low : low + step]
+        has = np.zeros((len(words), len(mine)), np.uint8)
+        for k, own in enumerate(mine):
+            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            has[at[words[at] == own], k] = 1
+        sizes = np.array([len(t) for t in mine])
+        start = 0
+        while start < len(tokens):
+            end = max(start + 1, int(np.searchsorted(first, first[start] + block, side="right")) - 1)
+            part = has[place[first[start] : first[end]]]
+            common = np.add.reduceat(part, first[start:end] - first[start], axis=0, dtype=np.int32)
+            j, k = np.nonzero(100 * common >= similarity * (lengths[start:end, None] + sizes[None, :] - common))
+            for x, y in zip((k + low).tolist(), (j + start).tolist()):
+                a, b = find(int(of[x])), find(int(of[len(out_tokens) + y]))
+                if a != b:
+                    parent[a] = b
+                    yield x, y
+            start = end
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) that join components within crowds. members: (crowd, id, root).
+
+    Outsiders, the documents that are not in the crowd's largest component, meet all others of other components, in
+    blocks of at most about OUTSIDERS x OTHERS documents each."""
+    sizes = members.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("crowd").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("out")
+    ).filter("out > 0")
+    rows = members.join(main, "crowd").withColumns(
+        {"outs": F.ceil(F.col("out") / OUTSIDERS), "others": F.ceil(F.col("all") / OTHERS), "h": F.xxhash64("id")}
+    )
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    outsiders = rows.filter("root <> main").withColumn("o", F.pmod("h", F.col("outs"))).withColumn("a", each("others"))
+    others = rows.withColumn("a", F.pmod("h", F.col("others"))).withColumn("o", each("outs"))
+    met = outsiders.select("crowd", "o", "a", "id", "root", F.lit(True).alias("outside")).unionByName(
+        others.select("crowd", "o", "a", "id", "root", F.lit(False).alias("outside"))
+    )
+    met = met.join(sets, "id").select(F.xxhash64("crowd", "o", "a").alias("block"), "id", "root", "outside", "tokens")
+
+    def visit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        outside = rows.column("outside").to_numpy(zero_copy_only=False)
+        ids, roots, held = rows.column("id").to_numpy(), rows.column("root").to_numpy(), rows.column("tokens").combine_chunks()
+        one, two = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if len(one) and len(two):
+            sets_of = lambda at: [np.frombuffer(held[int(i)].as_buffer(), np.uint64) for i in at]
+            links = list(_joining(roots[one], sets_of(one), roots[two], sets_of(two), similarity))
+            if links:
+                u, v = (np.array(c) for c in zip(*links))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[one[u]]), pa.array(ids[two[v]])], names=["u", "v"])
 
-    columns = ["node", "id", "size", "sketch", *(["root"] if again else [])]
-    return nodes.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(scan, CANDIDATE)
+    return _scan(met, "block", visit, "u long, v long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -306,28 +401,34 @@ def near_groups(
     )
     nodes = _nodes(points, node_rows)
     found = stage(candidates(nodes, similarity), "candidates")
-    pairs = found.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.max("same").alias("same"), F.max("star").alias("star"))
-    pairs = stage(pairs, "pairs")
-    either = pairs.select("a", "b", "same").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
-
-    # first every document's most similar candidate and the ties of nodes that did not come apart
-    best = either.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("low"))).alias("best"))
-    best = best.select(F.least("a", -F.col("best.low")).alias("a"), F.greatest("a", -F.col("best.low")).alias("b"))
-    early = stage(best.unionByName(pairs.filter("star").select("a", "b")).distinct(), "early")
-    sets = stage(full_sets(docs, either.select(F.col("a").alias("id")), key, text, width), "sets")
+    pairs = stage(found.groupBy("a", "b").agg(F.max("same").alias("same"), F.max("star").alias("star")), "pairs")
+    sets = stage(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text, width), "sets")
+
+    # first every document's most similar candidate, and of the middle documents it is tied to the most similar
+    least = ceil(plan(similarity)[2] * PLACES)
+    either = pairs.filter(F.col("same") >= least)
+    either = either.unionByName(either.select(F.col("b").alias("a"), F.col("a").alias("b"), "same", "star"))
+    rank = F.struct("same", (-F.col("b")).alias("low"))
+    best = either.groupBy("a").agg(F.max(rank).alias("one"), F.max(F.when(F.col("star"), rank)).alias("two"))
+    best = best.select("a", F.explode(F.array("one", "two")).alias("to")).filter("to is not null")
+    early = best.select(F.least("a", -F.col("to.low")).alias("a"), F.greatest("a", -F.col("to.low")).alias("b")).distinct()
+    early = stage(early, "early")
     links = stage(confirm(early, sets, similarity), "links")
-    roots = stage(components(links), "roots")
+    roots = stage(connected(links), "roots")
 
-    # then all other candidates whose two documents are not connected yet, those of the same nodes included
-    dense = found.filter(F.col("b").isNull()).select(F.col("a").alias("node")).distinct()
-    again = nodes.join(dense, "node", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    more = candidates(again.withColumn("root", F.coalesce("root", "id")), similarity).select("a", "b")
-    open_ = pairs.join(early, ["a", "b"], "left_anti").select("a", "b").unionByName(more).distinct()
+    # then all other candidates whose two documents are not connected yet, and the crowds
+    open_ = pairs.filter(~F.col("star")).join(early, ["a", "b"], "left_anti").select("a", "b")
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     open_ = open_.join(one, "a", "left").join(two, "b", "left")
-    open_ = open_.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(early, ["a", "b"], "left_anti")
-    late = confirm(stage(open_, "late"), sets, similarity)
-    roots = components(links.unionByName(late))
+    open_ = open_.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    late = confirm(open_, sets, similarity)
+    ties = pairs.filter("star").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if not ties.isEmpty():
+        members = connected(ties).select(F.col("root").alias("crowd"), F.col("node").alias("id"))
+        members = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        members = stage(members.withColumn("root", F.coalesce("root", "id")), "members")
+        late = late.unionByName(crowd_links(members, sets, similarity))
+    roots = connected(links.unionByName(late))
 
     of_point = points.select("k1", "k2", F.col("id").alias("point")).join(
         roots.select(F.col("node").alias("point"), "root"), "point", "left"
