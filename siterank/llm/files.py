@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/siterank/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for clusters where it is not installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(), "siterank.zip")  # Spark's file server hands it out, no task opens it
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(os.path.join(top, "siterank")):
+            for name in files:
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    out.write(whole, os.path.relpath(whole, top))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let no Arrow batch of whole texts take more than so many rows, unless the session asks for fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,6 +9,7 @@ from siterank.llm import language, lm, quality
 from siterank.llm.chat import format_messages, read_back, text_part
 from siterank.llm.decontaminate import contaminated
 from siterank.llm.exact_dedup import exact_groups
+from siterank.llm.files import ship_package
 from siterank.llm.near_dedup import near_groups
 from siterank.llm.packing import pack
 from siterank.llm.url_filter import judge_urls
@@ -16,6 +17,7 @@ from siterank.llm.warc import read_archives, record_types, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
