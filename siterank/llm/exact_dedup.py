@@ -80,9 +80,9 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, first_depth: int | No
 
 
 def resolve(index: DataFrame) -> DataFrame:
-    """(_key, _sha, keep_id, keep_chars, group_size, chain): one row per distinct text. The row with the most
-    characters stays, of these the smallest id; chain counts the different texts under its key."""
-    best = F.max(F.struct(F.col("_chars"), (-F.col("_first")).alias("_low")))
+    """(_key, _sha, keep_id, keep_chars, group_size, chain): one row per distinct text. Of the rows with an id the one
+    with the most characters stays, then the smallest id; chain counts the different texts under its key."""
+    best = F.max(F.struct(F.col("_first").isNotNull(), F.col("_chars"), (-F.col("_first")).alias("_low")))
     groups = index.groupBy("depth", "bucket", "_key", "_sha").agg(best.alias("_best"), F.sum("_n").alias("group_size"))
     chains = groups.groupBy("_key").agg(F.count(F.lit(1)).alias("chain")).filter("chain > 1")
     return groups.join(chains, "_key", "left").select(

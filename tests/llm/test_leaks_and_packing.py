@@ -50,14 +50,15 @@ def test_changed_parameters(spark, odd, none):
         (4, "Dave has 7 apples and buys 9 miles of rope in London . Then Fred sells 8 apples and walks 30 feet home with Erik.", "inconsistent"),
         (5, "Dave has apples , he buys rope in London and walks home .", "clean"), (6, " ".join(["the"] * 50), "clean"), (None, QUESTION, "no id"), (None, "x", "no id"),
         (7, "tiny item", "short"), (7, "tiny item", "short"), (8, None, "none"), (9, QUESTION.replace("apples", "pears", 1), "one word"),
+        (12, QUESTION.replace("rope", "twine"), "one word"),
     ]
     docs = spark.createDataFrame(rows, "doc_id int, text string, id string")
     items = spark.createDataFrame([(10, QUESTION), (10, QUESTION), (11, None), (12, ""), (13, "Tiny item!"), (14, "!? ,")], "item_id int, text string")
     got = {(r.doc_id, r.item_id): r.reparameterised for r in contaminated(docs, items).collect()}
-    # one word lies in 5 of 20 windows: 0.75
-    assert got == {(1, 10): False, (2, 10): False, (3, 10): True, (None, 10): False, (7, 13): False}
+    # the fourth word lies in 4 of 20 windows, which leaves 0.8; the tenth in 5, which leaves 0.75
+    assert got == {(1, 10): False, (2, 10): False, (3, 10): True, (None, 10): False, (7, 13): False, (9, 10): False}
     left = drop_contaminated(docs, items)
-    assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == [4, 5, 6, 8, 9, None]
+    assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == [12, 4, 5, 6, 8, None]
     assert contaminated(none, items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
     assert drop_contaminated(odd, items).count() == 12
 
