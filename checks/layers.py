@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from siterank.functions.geometry import ring_edges
 from siterank.plans import FeatureLayers, LabelLayers, RosterInputs
+from siterank.plans.features import PROBLEM, SUGGESTED
 from siterank.sources import line_segments, raster_cells, read_layer
 
 SIZE = 20000
-ADDITION = "agency addition"
-LATE = "agency add 7/14"
+ADDITION = "study addition"
+LATE = "late addition"
 COUNTY_NAMES = ("Anoka", "Carver", "Dakota", "Hennepin", "Ramsey", "Scott", "Washington", "Chisago", "Wright")
 
 
@@ -103,7 +104,7 @@ def crashes(spark, d) -> DataFrame:
 
 def comments(spark, d) -> DataFrame:
     k, u, e = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    kind = F.when(e == "error", "improvement needed").when(e == "purchase", "suggested new crossing").otherwise(e)
+    kind = F.when(e == "error", PROBLEM).when(e == "purchase", SUGGESTED).otherwise(e)
     return table(spark, d, "events").select(
         k.alias("id"),
         *_xy(k, 6151, 12289),
@@ -202,11 +203,44 @@ def areas(spark, d) -> DataFrame:
 
 
 def poverty(spark, d) -> DataFrame:
-    return areas(spark, d).filter("size >= 40")
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        k.alias("id"), triangle(spot(k, 2609), spot(k, 7411), 100 + 5 * F.col("p_size")).alias("edges")
+    )
 
 
 def poverty50(spark, d) -> DataFrame:
-    return areas(spark, d).filter("size >= 45")
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("id"), square(spot(k, 1867), spot(k, 9413), 150).alias("edges"))
+
+
+def typed_points(spark, d) -> DataFrame:
+    """Confirmed points with the type of the base point of the same key; buildings lie 40 m off."""
+    types = base_points(spark, d).select("id", "point_type")
+    off = F.when(F.col("point_type") == "BUILDING", 40).otherwise(0)
+    return confirmed(spark, d).join(types, "id").withColumn("x", F.col("x") + off)
+
+
+def town_stops(spark, d) -> DataFrame:
+    """Two thirds of the stops in a town of 300 m, one very far away, the rest spread."""
+    k = F.col("o_orderkey")
+    spread = k % 3 == 0
+    x = F.when(k == 7, 5000000.0).when(spread, spot(k, 4409)).otherwise(9000 + k * 4409 % 300)
+    y = F.when(spread, spot(k, 11003)).otherwise(9000 + k * 11003 % 300)
+    return table(spark, d, "orders").select(k.alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def diagonals(spark, d) -> DataFrame:
+    """Streets of 500 m in direction (3, 4) on coordinates of UTM size, overlapping, every other one reversed."""
+    k = F.col("o_orderkey")
+    street, lo = k * 7 % 100, k * 37 % 9000
+    x = lambda t: (480000 + 100 * street + 3 * t).cast("double")
+    y = lambda t: (4980000 + 4 * t).cast("double")
+    ahead = k % 2 == 0
+    ends = {f"{n}{i}": F.when(ahead, f(a)).otherwise(f(b)) for n, f in (("x", x), ("y", y)) for i, a, b in ((1, lo, lo + 100), (2, lo + 100, lo))}
+    return table(spark, d, "orders").select(
+        k.alias("line_id"), F.lit(0).alias("seg_no"), *[c.alias(n) for n, c in ends.items()], F.col("o_orderstatus").alias("regstat")
+    )
 
 
 def corridors(spark, d) -> DataFrame:

@@ -85,10 +85,6 @@ def counts(sites: str) -> dict[str, str]:
         ),
         triangles_near("areas", R_HALF, sites),
     )
-    inside = one % (
-        "10 * max((a.size >= 40)::INT) AS acp, 10 * max((a.size >= 45)::INT) AS acp50",
-        triangles_near("areas", "0::DOUBLE", sites),
-    )
     return {
         "f_crash": one % ("count(*) AS bkpd_crash_500ft", points_near("crashes", R_CRASH, sites)),
         "f_comments": comments,
@@ -97,7 +93,8 @@ def counts(sites: str) -> dict[str, str]:
         "f_stops": one % ("sum(on_off)::DOUBLE AS trans_riders_qtr", points_near("stops", R_HALF, sites)),
         "f_cells": one % ("avg(value) AS avg_slope", points_near("cells", R_QTR, sites)),
         "f_taz": taz,
-        "f_inside": inside,
+        "f_acp": one % ("10 AS acp", triangles_near("poverty", "0::DOUBLE", sites)),
+        "f_acp50": one % ("10 AS acp50", squares_near("poverty50", "0::DOUBLE", sites)),
         "f_corridor": one % ("10 AS rbtn_corridor", triangles_near("corridors", "0::DOUBLE", sites)),
         "f_alignment": one % ("10 AS rbtn_alignment", segs_near("alignments", R_QTR, sites)),
         "f_rail": one % (
@@ -183,7 +180,8 @@ PARTS["local_kept"] = """
       b.x1 + t1 * (b.x2 - b.x1) AS x2, b.y1 + t1 * (b.y2 - b.y1) AS y2
     FROM (SELECT line_id, seg_no, lo AS t1, max(hi) OVER (PARTITION BY line_id, seg_no ORDER BY lo, hi
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t0 FROM cut_spans) t
-    JOIN bikeways b USING (line_id, seg_no) WHERE t1 > t0"""
+    JOIN bikeways b USING (line_id, seg_no)
+    WHERE (t1 - t0) * sqrt((b.x2 - b.x1) ** 2 + (b.y2 - b.y1) ** 2) >= 0.00001::DOUBLE"""
 
 
 def _turn(a: str, b: str, i: int) -> str:
@@ -433,10 +431,10 @@ twin("exclude_existing", f"SELECT * FROM sites s WHERE NOT {exists_point('existi
 twin("keep_within", f"SELECT * FROM sites s WHERE EXISTS (SELECT 1 FROM removal_areas a WHERE {square_d2('s', 'a')} <= 0)")
 twin("flag_within", for_all(f"SELECT DISTINCT s.site_id, 10 AS n FROM {segs_near('alignments', R_QTR)}",
      "coalesce(n, 0)::INT AS rbtn_alignment"))
-twin("flag_in_areas", for_all(F["f_inside"], "coalesce(acp50, 0)::INT AS acp50"))
+twin("flag_in_areas", for_all(F["f_acp50"], "coalesce(acp50, 0)::INT AS acp50"))
 twin("major_river_flag", for_all(B["l_river"], "major_river"))
 TALLIED = [c for c in COUNTED if not c.endswith("fac_half")] + FLAGS[:4] + ["trans_riders_qtr"] + AVERAGED
-TALLY_FROM = ["f_crash", "f_comments", "f_schools", "f_parks", "f_stops", "f_cells", "f_taz", "f_inside", "f_corridor", "f_alignment"]
+TALLY_FROM = ["f_crash", "f_comments", "f_schools", "f_parks", "f_stops", "f_cells", "f_taz", "f_acp", "f_acp50", "f_corridor", "f_alignment"]
 twin("tallied_features",
      "SELECT site_id, " + ", ".join(
          f"round({c}, 6) AS {c}" if c in AVERAGED + MEASURED else c for c in TALLIED)
@@ -454,7 +452,8 @@ twin("nearest_crossing", for_all(F["f_crossing"] % "crossings",
 twin("nearest_barrier", for_all(
     f"SELECT s.site_id, min(row({seg_d2('s.x', 's.y', 'g')}, g.line_id, g.source)) AS v FROM sites s, barriers g GROUP BY ALL",
     "v[2] AS line_id, v[3] AS barrier_type, round(sqrt(v[1]), 6) AS dist"))
-twin("nearest_crash", for_all(F["f_crossing"] % "stops", "best[2] AS id, round(sqrt(best[1]), 6) AS dist"))
+twin("nearest_stop", for_all(F["f_crossing"] % "stops", "best[2] AS id, round(sqrt(best[1]), 6) AS dist"))
+twin("nearest_town_stop", for_all(F["f_crossing"] % "town_stops", "best[2] AS id, round(sqrt(best[1]), 6) AS dist"))
 twin("describe_site", "SELECT * FROM l_desc", B)
 twin("label_sites_plan", "SELECT * FROM labelled", B)
 
@@ -467,11 +466,13 @@ twin("snapshot_diff", f"""
     UNION ALL SELECT id, x, y, 'added' FROM confirmed s WHERE NOT {exists_point('sites', '2::DOUBLE')}""")
 twin("recode_within", f"""SELECT id AS site_id, x, y, CASE WHEN ptstat = 0 AND NOT {exists_point('sites', '2::DOUBLE')}
     THEN 2 ELSE ptstat END AS ptstat FROM removals s""")
+twin("recode_near", f"""SELECT id AS site_id, x, y, CASE WHEN ptstat = 0 AND {exists_point('sites', '2::DOUBLE')}
+    THEN 2 ELSE ptstat END AS ptstat FROM removals s""")
 twin("provenance", f"""SELECT site_id, CASE WHEN {exists_point('late_additions', '0.01::DOUBLE')} THEN 'new adds'
     WHEN {exists_point('confirmed', '2::DOUBLE')} THEN 'confirmed v2' END AS source_check FROM sites s""")
 twin("point_type", f"""SELECT s0.site_id, coalesce(b.t, e.t, '{ADDITION}') AS point_type FROM sites s0
     LEFT JOIN (SELECT s.site_id, arg_min(b.point_type, row({pt_d2('s', 'p')}, p.id)) AS t
-      FROM {points_near('confirmed', '0.5::DOUBLE')} JOIN sites b ON b.site_id = p.id AND b.point_type <> 'BUILDING'
+      FROM {points_near('typed_points', '0.5::DOUBLE')} JOIN sites b ON b.site_id = p.id
       GROUP BY s.site_id) b USING (site_id)
     LEFT JOIN (SELECT s.site_id, arg_min(p.newpointty, row({pt_d2('s', 'p')}, p.id)) AS t
       FROM {points_near('edits', '2::DOUBLE')} GROUP BY s.site_id) e USING (site_id)""")
@@ -488,9 +489,10 @@ twin("sum_pieces", for_all(f"""SELECT site_id, sum(len_m) FILTER (regstat = 1) /
     FROM ({clipped('bikeways', R_QTR, extra='g.regstat')}) GROUP BY site_id""",
     "round(coalesce(existing, 0), 6) AS existing, round(coalesce(planned, 0), 6) AS planned"))
 twin("clip_miles", for_all(F["f_regional"], "round(coalesce(expl_reg_miles_half, 0), 6) AS expl_reg_miles_half"))
-twin("erase_corridors", """SELECT line_id, regstat, round(len_m, 6) AS len_m FROM (
-    SELECT line_id, regstat, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len_m FROM local_kept GROUP BY ALL)
-    WHERE round(len_m, 6) > 0.00001""")
+twin("erase_corridors", """SELECT line_id, regstat, round(coalesce(len_m, 0), 6) AS len_m
+    FROM (SELECT DISTINCT line_id, regstat FROM bikeways) LEFT JOIN (
+      SELECT line_id, regstat, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len_m FROM local_kept GROUP BY ALL)
+    USING (line_id, regstat)""")
 STREETS = {"street_spans": """
     SELECT regstat, east, across, lo, hi, max(hi) OVER (PARTITION BY regstat, east, across ORDER BY lo, hi
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
@@ -502,6 +504,10 @@ STREETS = {"street_spans": """
     FROM (SELECT regstat, east, across, greatest(lo, coalesce(prev, lo)) AS lo, hi FROM street_spans) WHERE hi > lo"""}
 twin("dissolved_length", """SELECT regstat, round(sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)), 3) AS len_m
     FROM street_once GROUP BY regstat""", STREETS)
+twin("dissolved_diagonals", """SELECT regstat, sum(5 * (hi - greatest(lo, coalesce(prev, lo))))::DOUBLE AS len_m FROM (
+    SELECT regstat, lo, hi, max(hi) OVER (PARTITION BY regstat, street ORDER BY lo, hi
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM diagonals)
+    WHERE hi > coalesce(prev, lo) GROUP BY regstat""")
 twin("dissolved_miles", for_all("SELECT site_id, " + ", ".join(
     f"sum(len_m) FILTER (regstat = '{s}') / 1609.34::DOUBLE AS {s.lower()}" for s in "FOP")
     + f" FROM ({clipped('street_once', R_QTR, extra='g.regstat')}) GROUP BY site_id",

@@ -129,6 +129,17 @@ LAYERS = {
         CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 13 / 13.0::DOUBLE END AS pop_under_15_per,
         p_partkey % 7 / 7.0::DOUBLE AS zero_car_housing_units_per,
         p_partkey % 19 / 19.0::DOUBLE AS ppl_of_color_percent FROM part""",
+    "poverty": f"""SELECT p_partkey AS id, {spot('p_partkey', 2609)} AS ax, {spot('p_partkey', 7411)} AS ay,
+        (100 + 5 * p_size)::DOUBLE AS w FROM part""",
+    "poverty50": f"""SELECT p_partkey AS id, {spot('p_partkey', 1867)} AS x0, {spot('p_partkey', 9413)} AS y0,
+        150.0::DOUBLE AS side FROM part""",
+    "typed_points": "SELECT id, x + CASE WHEN point_type = 'BUILDING' THEN 40 ELSE 0 END AS x, c.y AS y FROM confirmed c JOIN"
+        " (SELECT site_id AS id, point_type FROM sites) t USING (id)",
+    "town_stops": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 5000000.0::DOUBLE
+          WHEN o_orderkey % 3 = 0 THEN {spot('o_orderkey', 4409)} ELSE 9000 + o_orderkey * 4409 % 300 END AS x,
+        CASE WHEN o_orderkey % 3 = 0 THEN {spot('o_orderkey', 11003)} ELSE 9000 + o_orderkey * 11003 % 300 END AS y FROM orders""",
+    "diagonals": """SELECT o_orderstatus AS regstat, o_orderkey * 7 % 100 AS street, o_orderkey * 37 % 9000 AS lo,
+        o_orderkey * 37 % 9000 + 100 AS hi FROM orders""",
     "corridors": f"""SELECT s_suppkey AS id, {spot('s_suppkey', 5441)} AS ax, {spot('s_suppkey', 13007)} AS ay,
         2500.0::DOUBLE AS w FROM supplier""",
     "trails": zigzag(

@@ -9,7 +9,7 @@ from checks import layers as L
 from siterank.operators import clusters, labels, lines, lookup, ranking, roster, scaling, within
 from siterank.plans import build_roster, feature_matrix, label_sites, prioritize, prioritize_subset
 from siterank.plans.features import (
-    CORRIDOR, CRASH, DEMOGRAPHICS, HALF, QUARTER, TAZ, count_if, facility_counts, line_miles, rail_volume, tallied,
+    CORRIDOR, CRASH, DEMOGRAPHICS, HALF, PROBLEM, QUARTER, SUGGESTED, TAZ, count_if, facility_counts, line_miles, rail_volume, tallied,
 )
 from siterank.plans.roster import all_additions, all_removals, extended_crossings, missed_removals
 from siterank.sources import point_rows, stage, write_sites
@@ -75,8 +75,8 @@ def count_within_filtered(spark, d):
         L.comments(spark, d),
         QUARTER,
         {
-            "problems": F.col("kml_name") == "improvement needed",
-            "suggested": F.col("kml_name") == "suggested new crossing",
+            "problems": F.col("kml_name") == PROBLEM,
+            "suggested": F.col("kml_name") == SUGGESTED,
             "women": F.col("gender") == "Female",
             "pplofcolor": labels.any_known(F.col("race_black"), F.col("race_asia")),
         },
@@ -203,11 +203,17 @@ def nearest_barrier(spark, d):
 
 
 @query
-def nearest_crash(spark, d):
+def nearest_stop(spark, d):
     """A big layer on the feature side of the unbounded nearest search."""
     return rounded(lookup.nearest(L.sites(spark, d), L.stops(spark, d), "point", "id", {"id": "id"}, "dist"))
 
 
+@query
+def nearest_town_stop(spark, d):
+    """Features of which most lie in one town and one very far away."""
+    return rounded(lookup.nearest(L.sites(spark, d), L.town_stops(spark, d), "point", "id", {"id": "id"}, "dist"))
+
+
 def _described(spark, d, sites):
     lay = L.label_layers(spark, d)
     return labels.describe_site(sites, lay.barriers, lay.streams, lay.railroads, lay.expressways, lay.roads)
@@ -251,6 +257,12 @@ def recode_within(spark, d):
     return roster.recode_within(points, L.sites(spark, d), 2.0, "ptstat", 0, 2)
 
 
+@query
+def recode_near(spark, d):
+    points = L.removals(spark, d).withColumnRenamed("id", "site_id")
+    return roster.recode_within(points, L.sites(spark, d), 2.0, "ptstat", 0, 2, near=True)
+
+
 @query
 def provenance(spark, d):
     return roster.provenance(L.sites(spark, d), L.confirmed(spark, d), L.late_additions(spark, d))
@@ -258,9 +270,7 @@ def provenance(spark, d):
 
 @query
 def point_type(spark, d):
-    moved = L.confirmed(spark, d).join(L.base_points(spark, d).select("id", "point_type"), "id")
-    base = moved.filter("point_type <> 'BUILDING'")
-    return roster.point_type(L.sites(spark, d), base, L.edits(spark, d), L.ADDITION)
+    return roster.point_type(L.sites(spark, d), L.typed_points(spark, d), L.edits(spark, d), L.ADDITION)
 
 
 @query
@@ -319,7 +329,8 @@ def erase_corridors(spark, d):
     regional = L.trails(spark, d).select(*lines.ENDS).unionByName(L.alignments(spark, d).select(*lines.ENDS))
     kept = lines.erase_near(L.bikeways(spark, d), regional, CORRIDOR)
     per_line = kept.groupBy("line_id", "regstat").agg(F.sum(_length()).alias("len_m"))
-    return rounded(per_line).filter("len_m > 0.00001")
+    every = L.bikeways(spark, d).select("line_id", "regstat").distinct()
+    return rounded(every.join(per_line, ["line_id", "regstat"], "left").fillna(0.0, ["len_m"]))
 
 
 @query
@@ -328,6 +339,12 @@ def dissolved_length(spark, d):
     return once.groupBy("regstat").agg(F.round(F.sum(_length()), 3).alias("len_m"))
 
 
+@query
+def dissolved_diagonals(spark, d):
+    once = lines.dissolve_pieces(L.diagonals(spark, d), ["regstat"])
+    return once.groupBy("regstat").agg(F.round(F.sum(_length()), 3).alias("len_m"))
+
+
 @query
 def dissolved_miles(spark, d):
     once = lines.dissolve_pieces(L.streets(spark, d), ["regstat"])
@@ -377,7 +394,7 @@ def _few_features(spark, d):
         sites,
         [
             within.Layer(L.crashes(spark, d), CRASH, {"crashes": F.lit(1).cast("bigint")}),
-            within.Layer(L.comments(spark, d), QUARTER, {"problems": count_if(F.col("kml_name") == "improvement needed")}),
+            within.Layer(L.comments(spark, d), QUARTER, {"problems": count_if(F.col("kml_name") == PROBLEM)}),
             within.Layer(L.stops(spark, d), HALF, {"riders": F.col("on_off").cast("bigint")}),
             within.Layer(L.alignments(spark, d), QUARTER, {"flag": F.lit(1).cast("bigint")}, "segment"),
         ],

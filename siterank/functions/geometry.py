@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(*columns: str) -> Column:
+    """Do all columns hold a number, neither NULL nor NaN nor infinite? Otherwise false, never NULL."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce((F.col(c) - F.col(c)) == 0, F.lit(False))
+    return out
+
+
 def point_dist2(x: Column, y: Column, px: Column, py: Column) -> Column:
     dx, dy = x - px, y - py
     return dx * dx + dy * dy

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import segments_touch
-from siterank.operators.grid import candidates, with_box
+from siterank.operators.grid import candidates, is_small, with_box
 from siterank.operators.lines import ENDS, cut_short
 from siterank.operators.skew import spread_join
 from siterank.sources.staging import drop_stage, stage
@@ -46,9 +46,13 @@ def touching_edges(segs: DataFrame, status: str) -> DataFrame:
         ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"),
     )
     feats = with_box(places.select("status", F.col("line_id").alias("v"), *ENDS), "segment", PART / 2)
-    crossing = candidates(probes, feats, ["u", "part_no"], ["v", *ENDS]).filter(
-        F.col("status").eqNullSafe(F.col("a_status"))
-        & (F.col("u") > F.col("v"))
+    # in the key, so that lines of different status never meet; NULL is a status of its own
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    probes, feats = probes.withColumn("a_kind", named("a_status")), feats.withColumn("b_kind", named("status"))
+    crossing = candidates(
+        probes, feats, ["u", "part_no"], ["v", *ENDS], broadcast=is_small(segs), match={"a_kind": "b_kind"}
+    ).filter(
+        (F.col("u") > F.col("v"))
         & segments_touch(tuple(F.col(n) for n in whole.values()), tuple(F.col(c) for c in ENDS))
     )
     return tied.select(F.col("line_id").alias("u"), "v").unionByName(crossing.select("u", "v")).distinct()

@@ -13,11 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siterank.functions.geometry import finite
 from siterank.operators.skew import FLOOR, split_join
 
 BASE_CELL = 50.292  # metres, 1/32 mile: the study's radii fall on whole levels
 SLACK = 1e-6  # metres added to the reach in cell and box tests; the exact test comes after
-SMALL = 20_000  # weight up to which a layer is broadcast (rows, counting long geometries and texts more)
+SMALL = 40_000  # weight up to which a layer is broadcast: rows, and 64 bytes of their text forms each
 
 BOX = ("minx", "miny", "maxx", "maxy")
 CELL = ["_level", "_cx", "_cy"]
@@ -43,7 +44,8 @@ def with_box(df: DataFrame, kind: str, reach: Column | float, level: Column | No
     else:
         raise ValueError(kind)
     reach = reach if isinstance(reach, Column) else F.lit(float(reach))
-    boxed = df.withColumns(dict(zip(BOX, box)) | {"reach": reach})
+    # features without a finite box are near nothing
+    boxed = df.withColumns(dict(zip(BOX, box)) | {"reach": reach}).filter(finite(*BOX))
     return boxed.withColumn("level", box_level() if level is None else level)
 
 
@@ -54,21 +56,11 @@ def box_level() -> Column:
     return F.greatest(level, F.lit(0)).cast("int")
 
 
-def _weight(df: DataFrame) -> Column:
-    out = F.lit(1.0)
-    for f in df.schema:
-        kind = f.dataType.typeName()
-        if kind == "array":
-            out = out + F.coalesce(F.size(f.name), F.lit(0))
-        elif kind == "string":
-            out = out + F.coalesce(F.octet_length(f.name), F.lit(0)) / 64.0
-    return out
-
-
 def is_small(df: DataFrame, limit: int = SMALL) -> bool:
-    """Is the whole layer light enough to broadcast? Reads no more than limit + 1 rows."""
-    row = df.select(_weight(df).alias("w")).limit(limit + 1).agg(F.sum("w")).first()
-    return (row[0] or 0) <= limit
+    """Is the whole layer light enough to broadcast, one unit for a row and for every 64 bytes of its text form,
+    whatever its columns are nested in? Takes at most limit + 1 numbers, from the first partitions that have them."""
+    weight = 1.0 + F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) / 64.0
+    return sum(r[0] for r in df.select(weight).take(limit + 1)) <= limit
 
 
 def _side(level: Column) -> Column:
@@ -110,12 +102,14 @@ def candidates(
     levels: list[int] | None = None,
     broadcast: bool | None = None,
     floor: int = FLOOR,
+    match: dict[str, str] | None = None,
 ) -> DataFrame:
     """All (probe, feature) pairs where the probe lies in the feature's box grown by its reach.
 
     probes: x, y and any columns. feats: box, reach and any columns (see with_box). Column names must
     differ between the two. The caller adds the exact distance test. `levels` are the grid levels that occur
-    in feats, where known; otherwise they are looked up.
+    in feats, where known; otherwise they are looked up. `match` names columns that must be equal besides
+    (probe column -> feature column). Rows without finite coordinates make no pairs.
 
     A light layer (its size is checked) is broadcast. Otherwise both sides are shuffled on the cell, and
     cells that hold more than their share of either side are cut into blocks (see split_join).
@@ -127,12 +121,33 @@ def candidates(
         F.col("x").between(F.col("minx") - F.col("reach") - SLACK, F.col("maxx") + F.col("reach") + SLACK)
         & F.col("y").between(F.col("miny") - F.col("reach") - SLACK, F.col("maxy") + F.col("reach") + SLACK)
     )
-    probe_cells = _probe_cells(probes, levels)
+    probe_cells = _probe_cells(probes.filter(finite("x", "y")), levels)
+    cell = list(CELL)
+    for i, (mine, theirs) in enumerate((match or {}).items()):
+        probe_cells, feat_cells = probe_cells.withColumn(f"_m{i}", F.col(mine)), feat_cells.withColumn(f"_m{i}", F.col(theirs))
+        cell.append(f"_m{i}")
     if is_small(feats) if broadcast is None else broadcast:
-        same = [F.col(f"p.{c}") == F.col(f"f.{c}") for c in CELL]
+        same = [F.col(f"p.{c}") == F.col(f"f.{c}") for c in cell]
         pairs = probe_cells.alias("p").join(F.broadcast(feat_cells).alias("f"), [*same, in_box])
     else:
-        return split_join(probe_cells, feat_cells, CELL, probe_id, feat_id, in_box, floor).select(
+        return split_join(probe_cells, feat_cells, cell, probe_id, feat_id, in_box, floor).select(
             *probes.columns, *feats.columns
         )
     return pairs.select(*[f"p.{c}" for c in probes.columns], *[f"f.{c}" for c in feats.columns])
+
+
+def touched(probes: DataFrame, feats: DataFrame, near: Column, levels: list[int] | None = None, broadcast: bool = False) -> DataFrame:
+    """The distinct places (x, y) of probes that any feature is near to, by a join that stops at a place's first hit.
+
+    probes: x, y; feats: as in `candidates`; near: the exact test on both."""
+    if levels is None:
+        levels = feats.agg(F.collect_set("level")).scalar()
+    pad = F.col("reach") + SLACK
+    in_box = F.col("x").between(F.col("minx") - pad, F.col("maxx") + pad) & F.col("y").between(F.col("miny") - pad, F.col("maxy") + pad)
+    places = _probe_cells(probes.select("x", "y").filter(finite("x", "y")).distinct(), levels)
+    cells = _feature_cells(feats).withColumnsRenamed({c: f"_f{c}" for c in CELL})
+    same = F.lit(True)
+    for c in CELL:
+        same = same & (F.col(c) == F.col(f"_f{c}"))
+    hit = places.join(F.broadcast(cells) if broadcast else cells, same & in_box & near, "left_semi")
+    return hit.select("x", "y").distinct()

@@ -9,22 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import settle, with_capsule_interval, with_circle_interval
-from siterank.operators.grid import BOX, candidates, with_box
+from siterank.functions.geometry import finite, settle, with_capsule_interval, with_circle_interval
+from siterank.operators.grid import BOX, candidates, is_small, with_box
 from siterank.operators.within import GEOMETRY
 
 METRES_PER_MILE = 1609.34
 ENDS = GEOMETRY["segment"]
+RIM = 1e-5  # metres: what is left of a segment between two erased parts counts from this length on
 
 
-def clip_to_radius(sites: DataFrame, segs: DataFrame, radius: float, keep: list[str] | None = None) -> DataFrame:
+def clip_to_radius(
+    sites: DataFrame, segs: DataFrame, radius: float, keep: list[str] | None = None, light: bool | None = None
+) -> DataFrame:
     """(site_id, line_id, seg_no, keep..., t_lo, t_hi, len_m): the part of each segment within each circle.
 
     Parts of no length are left out. Several segment rows may share line_id and seg_no."""
     keep = keep or []
+    light = is_small(segs) if light is None else light
     feats = with_box(segs.select("line_id", "seg_no", *keep, *ENDS), "segment", radius)
     probes = sites.select("site_id", "x", "y")
-    near = candidates(probes, feats, ["site_id"], ENDS)
+    near = candidates(probes, feats, ["site_id"], ENDS, broadcast=light)
     parts = with_circle_interval(near, "x", "y", radius, ENDS, "t_lo", "t_hi")
     length = F.sqrt(_square("x2", "x1") + _square("y2", "y1")) * (F.col("t_hi") - F.col("t_lo"))
     return parts.select("site_id", "line_id", "seg_no", *keep, "t_lo", "t_hi", length.alias("len_m"))
@@ -49,7 +53,7 @@ def clip_miles(sites: DataFrame, segs: DataFrame, radius: float, filters: dict[s
     weights = {f"_w{i}": F.sum(F.when(cond, 1.0).otherwise(0.0)) for i, cond in enumerate(filters.values())}
     places = segs.groupBy(*ENDS).agg(*[w.alias(n) for n, w in weights.items()])
     pieces = clip_to_radius(
-        sites, places.withColumns({"line_id": F.lit(0), "seg_no": F.lit(0)}), radius, list(weights)
+        sites, places.withColumns({"line_id": F.lit(0), "seg_no": F.lit(0)}), radius, list(weights), is_small(segs)
     )
     miles = pieces.groupBy("site_id").agg(
         *[(F.sum(F.col("len_m") * F.col(w)) / METRES_PER_MILE).alias(n) for w, n in zip(weights, filters)]
@@ -110,7 +114,8 @@ def erase_near(segs: DataFrame, eraser: DataFrame, radius: float, key: list[str]
 
     `key` names the columns that identify a row of segs. Segments are cut to parts no longer than four
     radii; a part is probed by its middle, with the eraser's reach grown by half that length. Each near
-    eraser segment takes one interval out of the part, and what no interval covers is kept.
+    eraser segment takes one interval out of the part, and what no interval covers is kept, from RIM metres on:
+    rims that touch leave slivers of rounding between them.
     """
     key = key or ["line_id", "seg_no"]
     longest = 4.0 * radius
@@ -122,7 +127,7 @@ def erase_near(segs: DataFrame, eraser: DataFrame, radius: float, key: list[str]
     probes = parts.select(
         *part_key, *ENDS, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")
     )
-    near = candidates(probes, lines, part_key, list(names))
+    near = candidates(probes, lines, part_key, list(names), broadcast=is_small(eraser))
     hidden = with_capsule_interval(near, ENDS, radius, list(names), "lo", "hi").select(*part_key, "lo", "hi")
     # Two empty intervals, before and after each part, stand for its ends: the gaps between are what is kept.
     ends = parts.select(*part_key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("lo")).withColumn("hi", F.col("lo"))
@@ -132,12 +137,13 @@ def erase_near(segs: DataFrame, eraser: DataFrame, radius: float, key: list[str]
         .filter(F.col("lo") > F.col("_prev"))
         .select(*part_key, F.col("_prev").alias("_t0"), F.col("lo").alias("_t1"))
     )
+    size = F.sqrt(_square("x2", "x1") + _square("y2", "y1"))
 
     def at(a: str, b: str, t: str) -> Column:
         whole = F.when(F.col(t) == 0, F.col(a)).when(F.col(t) == 1, F.col(b))
         return whole.otherwise(F.col(a) + (F.col(b) - F.col(a)) * F.col(t))
 
-    kept = parts.join(gaps, part_key)
+    kept = parts.join(gaps, part_key).filter(size * (F.col("_t1") - F.col("_t0")) >= RIM)
     return kept.select(
         *[c for c in parts.columns if c not in ENDS],
         at("x1", "x2", "_t0").alias("x1"), at("y1", "y2", "_t0").alias("y1"),
@@ -145,58 +151,74 @@ def erase_near(segs: DataFrame, eraser: DataFrame, radius: float, key: list[str]
     )
 
 
+GRID = 1000.0  # steps per metre: ends are put on whole millimetres before lines are compared
+
+
+def _divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two whole numbers that are not both 0. Sixty-four of Euclid's steps are more
+    than any two lengths below 10^13 need."""
+    start = F.struct(a.alias("a"), b.alias("b"))
+    ended = F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        start,
+        lambda s, _: F.struct(
+            F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"),
+            F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"),
+        ),
+    )
+    return ended["a"]
+
+
 def dissolve_pieces(segs: DataFrame, keys: list[str], chunk: float = 1000.0) -> DataFrame:
     """(keys, line_id, seg_no, x1, y1, x2, y2): segments with the same cover in which nothing of the same
     keys overlaps, so lengths count once.
 
-    Segments on the same straight line share its direction and offset. Along it each is an interval, cut at
-    multiples of `chunk` metres so that one long busy line is many small groups, and the intervals of a
-    group are united.
+    Ends are put on whole millimetres, and everything after is whole numbers, so segments are on one line
+    exactly when their rounded ends are. A line is its direction without common divisor and its place: along
+    its longer axis its whole points are `stride` apart, numbered by division, and the remainders of both
+    coordinates are the same for all of them. A segment is an interval of such numbers, cut into chunks of at
+    least `chunk` metres so that one long busy line is many small groups, and the intervals of a group are
+    united. Segments of no length after rounding, or without finite ends, are left out.
     """
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    turned = F.when((dx > 0) | ((dx == 0) & (dy > 0)), F.lit(1.0)).otherwise(F.lit(-1.0))
-    size = F.sqrt(dx * dx + dy * dy)
-    lines = (
-        segs.select(*keys, *ENDS)
-        .distinct()
-        .filter(size > 0)
-        .withColumns({"_ux": turned * dx / size, "_uy": turned * dy / size})
-        .withColumns(
-            {
-                "_off": F.col("x1") * F.col("_uy") - F.col("y1") * F.col("_ux"),
-                "_s1": F.col("x1") * F.col("_ux") + F.col("y1") * F.col("_uy"),
-                "_s2": F.col("x2") * F.col("_ux") + F.col("y2") * F.col("_uy"),
-            }
-        )
-        .withColumns({"_from": F.least("_s1", "_s2"), "_to": F.greatest("_s1", "_s2")})
+    whole = {f"_{c}": F.round(F.col(c) * GRID).cast("long") for c in ENDS}
+    dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    ends = segs.filter(finite(*ENDS)).select(*keys, *[c.alias(n) for n, c in whole.items()]).distinct()
+    # a runs along the longer axis and upwards, b along the other
+    lines = ends.filter((dx != 0) | (dy != 0)).withColumn("_flat", F.abs(dx) >= F.abs(dy))
+    flat = F.col("_flat")
+    lines = lines.withColumns(
+        {f"_{n}{i}": F.when(flat, F.col(f"_{u}{i}")).otherwise(F.col(f"_{v}{i}")) for i in (1, 2) for n, u, v in (("a", "x", "y"), ("b", "y", "x"))}
+    )
+    up = F.col("_a2") > F.col("_a1")
+    lines = lines.select(
+        *keys, "_flat", F.least("_a1", "_a2").alias("_a"), F.when(up, F.col("_b1")).otherwise(F.col("_b2")).alias("_b"),
+        F.abs(F.col("_a2") - F.col("_a1")).alias("_da"),
+        F.when(up, F.col("_b2") - F.col("_b1")).otherwise(F.col("_b1") - F.col("_b2")).alias("_db"),
     )
-    # Lines are told apart by rounded values; positions come from the unrounded ones.
-    exact = ("_ux", "_uy", "_off")
-    rounded = {f"_line{c}": F.round(c, digits) + 0.0 for c, digits in zip(exact, (11, 11, 6))}
-    line = [*keys, *rounded]
-    step = F.lit(float(chunk))
-    runs = (
-        lines.withColumns(rounded)
-        .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))
-        .select(
-            *line, *exact, "_chunk",
-            F.greatest("_from", F.col("_chunk") * step).alias("lo"),
-            F.least("_to", (F.col("_chunk") + 1) * step).alias("hi"),
-        )
+    lines = settle(lines, _n=_divisor(F.col("_da"), F.abs("_db")))
+    lines = settle(lines, _stride=F.expr("_da div _n"), _slope=F.expr("_db div _n"))
+    lines = lines.withColumn("_ra", F.pmod("_a", "_stride")).withColumn("_k", F.expr("(_a - _ra) div _stride"))
+    line = [*keys, "_flat", "_stride", "_slope", "_ra", "_rb"]
+    length = F.sqrt(F.col("_stride").cast("double") * F.col("_stride") + F.col("_slope").cast("double") * F.col("_slope"))
+    numbers = F.greatest(F.ceil(F.lit(float(chunk) * GRID) / length), F.lit(1))
+    lines = settle(lines, _rb=F.col("_b") - F.col("_k") * F.col("_slope"), _many=numbers)
+    first, last = F.floor(F.col("_k") / F.col("_many")), F.floor((F.col("_k") + F.col("_n")) / F.col("_many"))
+    runs = lines.withColumn("_chunk", F.explode(F.sequence(first, last))).select(
+        *line, "_chunk",
+        F.greatest(F.col("_k"), F.col("_chunk") * F.col("_many")).cast("double").alias("lo"),
+        F.least(F.col("_k") + F.col("_n"), (F.col("_chunk") + 1) * F.col("_many")).cast("double").alias("hi"),
     )
-    once = union_intervals(runs, [*line, "_chunk"], exact)
+    once = union_intervals(runs, [*line, "_chunk"])
 
-    def xy(s: str) -> tuple[Column, Column]:
-        s = F.col(s)
-        return (
-            F.col("_ux") * s + F.col("_uy") * F.col("_off"),
-            F.col("_uy") * s - F.col("_ux") * F.col("_off"),
-        )
+    def at(end: str) -> tuple[Column, Column]:
+        k = F.col(end).cast("long")
+        a, b = (k * F.col("_stride") + F.col("_ra")) / GRID, (k * F.col("_slope") + F.col("_rb")) / GRID
+        return F.when(flat, a).otherwise(b), F.when(flat, b).otherwise(a)
 
-    (x1, y1), (x2, y2) = xy("lo"), xy("hi")
+    (x1, y1), (x2, y2) = at("lo"), at("hi")
     return once.select(
         *keys,
-        F.xxhash64(*rounded).alias("line_id"),
+        F.xxhash64(*line[len(keys):]).alias("line_id"),
         F.xxhash64("_chunk", "lo").alias("seg_no"),
         x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
     )

@@ -8,12 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import box_dist2, box_far_dist2
+from siterank.functions.geometry import box_dist2, box_far_dist2, finite
 from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, with_box
 from siterank.operators.skew import split_join
 from siterank.operators.within import GEOMETRY, dist2, geometry_columns, near_features, with_dist2
 from siterank.sources.staging import stage
 
+BLOCK = 64  # features of a block, unless they are at one place
+HALVINGS = 40  # a block's side is halved at most so often
+
 
 @dataclass(frozen=True)
 class Lookup:
@@ -70,12 +73,13 @@ def nearest(
 ) -> DataFrame:
     """(site_id, taken columns) from the nearest feature at any distance; ties go to the smallest id.
 
-    Features are grouped into small blocks. A site looks at the blocks within a radius: the farthest corner
-    of any of them bounds the distance to the nearest feature, and only blocks that begin within this bound
-    are opened. Sites that find no such bound within the radius go on with four times the radius, so each
-    round works on the few sites left over, and a crowd of features far away costs a site only its blocks.
+    Features are grouped into blocks of at most BLOCK; where they crowd, blocks are smaller. A site looks at the
+    blocks within a radius: the farthest corner of any of them bounds the distance to the nearest feature, and only
+    blocks that begin within this bound are opened. Sites that find no such bound within the radius go on with four
+    times the radius, so each round works on the few sites left over, and a crowd of features far away costs a site
+    only its blocks. Features and sites without finite coordinates take no part; such sites get NULL.
     """
-    probes = sites.select("site_id", "x", "y")
+    probes = sites.select("site_id", "x", "y").filter(finite("x", "y"))
     light = is_small(rows.select(*geometry_columns(kind), *[F.col(c) for c in sorted({id, *take.values()})]))
     feats = with_box(
         rows.groupBy(*geometry_columns(kind)).agg(
@@ -96,38 +100,34 @@ def nearest(
         return empty
     width = max(ends[2], span[2]) - min(ends[0], span[0])
     height = max(ends[3], span[3]) - min(ends[1], span[1])
-    radius = max(2 * math.sqrt((ends[2] - ends[0]) * (ends[3] - ends[1]) / ends[4]), BASE_CELL)
-    side = radius / 4
-    whole = 2 * math.hypot(width, height) + radius
-
-    feats = feats.withColumns(
-        {
-            "_bx": F.floor((F.col("minx") + F.col("maxx")) / (2 * side)),
-            "_by": F.floor((F.col("miny") + F.col("maxy")) / (2 * side)),
-        }
-    )
+    side = max(math.sqrt((ends[2] - ends[0]) * (ends[3] - ends[1]) / ends[4]), BASE_CELL) / 2
+    whole = 2 * math.hypot(width, height) + 4 * side
+
+    feats, side = _blocks(feats, side)
+    radius = 4 * side
     box = ["minx", "miny", "maxx", "maxy"]
-    blocks = feats.groupBy("_bx", "_by").agg(
+    block = ["_side", "_bx", "_by"]
+    blocks = feats.groupBy(*block).agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
     )
-    opened = feats.select("_bx", "_by", *GEOMETRY[kind], "_f")
+    opened = feats.select(*block, *GEOMETRY[kind], "_f")
     corner = [F.col(c) for c in box]
     found, pending, open_sites = None, probes, span[4]
-    while open_sites and radius <= 4 * whole:
+    while open_sites and (found is None or radius <= 4 * whole):
         within = blocks.withColumn("reach", F.lit(radius)).withColumn("level", box_level())
-        seen = candidates(pending, within, ["site_id"], ["_bx", "_by"], broadcast=light).select(
-            "site_id", "x", "y", "_bx", "_by",
+        seen = candidates(pending, within, ["site_id"], block, broadcast=light).select(
+            "site_id", "x", "y", *block,
             box_dist2(F.col("x"), F.col("y"), *corner).alias("_from"),
             box_far_dist2(F.col("x"), F.col("y"), *corner).alias("_to"),
         )
         bound = F.min("_to").over(Window.partitionBy("site_id"))
         worth = seen.withColumn("_bound", bound).filter(
             (F.col("_bound") <= radius * radius) & (F.col("_from") <= F.col("_bound"))
-        ).select("site_id", "x", "y", "_bx", "_by")
+        ).select("site_id", "x", "y", *block)
         if light:
-            hits = worth.join(F.broadcast(opened), ["_bx", "_by"])
+            hits = worth.join(F.broadcast(opened), block)
         else:
-            hits = split_join(worth, opened, ["_bx", "_by"], ["site_id"], GEOMETRY[kind])
+            hits = split_join(worth, opened, block, ["site_id"], GEOMETRY[kind])
         best = hits.groupBy("site_id").agg(F.min(F.struct(dist2(kind).alias("_d2"), "_f")).alias("_best"))
         done = stage(best, "nearest")
         found = done if found is None else found.unionByName(done)
@@ -138,3 +138,27 @@ def nearest(
     if dist:
         taken.append(F.sqrt(F.col("_best._d2")).alias(dist))
     return sites.select("site_id").join(found, "site_id", "left").select("site_id", *taken)
+
+
+def _blocks(feats: DataFrame, side: float) -> tuple[DataFrame, float]:
+    """Features with their block (_side, _bx, _by), staged, and the side at which most of them lie: squares of the
+    given side, cut in four again and again where more than BLOCK features have their middle in one. Only features
+    of overfull blocks are looked at again, so a far outlier or a dense town costs rounds and not wide blocks."""
+    middle = [(F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2]
+    square = ["_side", "_bx", "_by"]
+    done, rest, most = None, stage(feats, "features"), (0, side)
+    for _ in range(HALVINGS):
+        cut = rest.withColumns({"_side": F.lit(side), "_bx": F.floor(middle[0] / side), "_by": F.floor(middle[1] / side)})
+        full = cut.groupBy(*square).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK)
+        full = stage(full.select(*square), "overfull")
+        if full.isEmpty():
+            break
+        ready = stage(cut.join(full, square, "left_anti").select(*cut.columns), "blocks")
+        done = ready if done is None else done.unionByName(ready)
+        most = max(most, (ready.count(), side))
+        rest = stage(cut.join(full, square, "left_semi").select(*feats.columns), "features")
+        side /= 2
+    cut = rest.withColumns({"_side": F.lit(side), "_bx": F.floor(middle[0] / side), "_by": F.floor(middle[1] / side)})
+    if done is None:
+        return cut, side
+    return done.unionByName(cut.select(*done.columns)), max(most, (rest.count(), side))[1]

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is heavy when it holds more than 1/SHARE of all rows, so there are at most SHARE heavy keys and
-# their list can always be broadcast. Below FLOOR rows a key is never heavy.
+# their list can always be broadcast. Below FLOOR rows a key is never heavy. In joins of two big sides the work
+# counts instead: FLOOR * FLOOR pairs are as many as one task gets.
 SHARE = 8192
 FLOOR = 20_000
 
 
-
-
 def heavy_keys(df: DataFrame, on: list[str], floor: int = FLOOR, parts: str = "_parts") -> DataFrame:
     """(on..., parts): the heavy keys of df and into how many parts to split each."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
@@ -64,23 +63,17 @@ def split_join(
 ) -> DataFrame:
     """Inner equi join where keys may be heavy on either side or both. Columns other than `on` must differ.
 
-    A key above its share on one side is cut into blocks: left rows into _kl parts, right rows into _kr
-    parts, each part repeated against all parts of the other side, so every pair still meets exactly once.
-    At most SHARE keys exceed their share on a side, so the list to broadcast has at most 2 * SHARE rows.
+    A key whose pairs are more than floor * floor is cut into blocks of at most floor rows of either side: left rows
+    into _kl parts, right rows into _kr parts, each part repeated against all parts of the other side, so every pair
+    still meets exactly once, and no part has more than about floor * floor pairs to look at, however large the
+    tables are. The list of such keys is as long as there are crowds; whether it is broadcast is left to its size.
     """
     seen = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
         right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
     keys = seen.groupBy(*on).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-    total = keys.agg(F.struct(F.sum("_nl").alias("l"), F.sum("_nr").alias("r"))).scalar()
-    cap_l = F.greatest(F.lit(float(floor)), total["l"] / F.lit(float(SHARE)))
-    cap_r = F.greatest(F.lit(float(floor)), total["r"] / F.lit(float(SHARE)))
-    heavy = F.broadcast(
-        keys.filter((F.col("_nl") > cap_l) | (F.col("_nr") > cap_r)).select(
-            *on,
-            F.greatest(F.ceil(F.col("_nl") / cap_l), F.lit(1)).cast("int").alias("_kl"),
-            F.greatest(F.ceil(F.col("_nr") / cap_r), F.lit(1)).cast("int").alias("_kr"),
-        )
+    heavy = keys.filter(F.col("_nl").cast("double") * F.col("_nr") > float(floor) * floor).select(
+        *on, F.ceil(F.col("_nl") / floor).cast("int").alias("_kl"), F.ceil(F.col("_nr") / floor).cast("int").alias("_kr")
     )
 
     def own(ident: list[str], count: str) -> Column:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from siterank.functions.geometry import (
     segment_dist2,
     settle,
 )
-from siterank.operators.grid import BOX, candidates, is_small, point_level, with_box
+from siterank.operators.grid import BOX, candidates, is_small, point_level, touched, with_box
 
 GEOMETRY = {"point": ["px", "py"], "segment": ["x1", "y1", "x2", "y2"], "area": ["edges"]}
 
@@ -162,26 +160,31 @@ def zonal_mean(sites: DataFrame, cells: DataFrame, radius: float, name: str) ->
     return finish_averages(tally(sites, [Layer(cells, radius, averages({name: "value"}))]), [name])
 
 
-def flag_within(sites: DataFrame, rows: DataFrame, radius: float, name: str, kind: str = "point", value: int = 1):
-    """(site_id, name): `value` where any feature is within the radius, else 0. Radius 0 means touching."""
-    hit = tally(sites, [Layer(rows, radius, {"_n": F.lit(1).cast("bigint")}, kind)])
-    return hit.select("site_id", F.when(F.col("_n") > 0, F.lit(value)).otherwise(F.lit(0)).alias(name))
+def near_places(sites: DataFrame, layers: list[Layer]) -> DataFrame:
+    """The distinct places (x, y) of sites that a feature of any layer is near to, each layer with its own radius.
+    Places, not ids, are what is compared, so nothing depends on the ids."""
+    hits = None
+    for layer in layers:
+        light = is_small(layer.rows.select(*geometry_columns(layer.kind)))
+        rows = layer.rows.select(*geometry_columns(layer.kind))
+        level = point_level(layer.radius) if layer.kind == "point" else None
+        feats = with_box(
+            rows.distinct() if layer.kind != "area" else rows, layer.kind, layer.radius, None if level is None else F.lit(level)
+        )
+        found = touched(sites, feats, is_near(layer.kind), None if level is None else [level], light)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits if len(layers) == 1 else hits.distinct()
 
 
-def _marked(sites: DataFrame, layers: list[Layer]) -> DataFrame:
-    """Sites with _hits, how many features of any layer are near."""
-    each = [
-        Layer(layer.rows, layer.radius, {f"_n{i}": F.lit(1).cast("bigint")}, layer.kind)
-        for i, layer in enumerate(layers)
-    ]
-    names = [f"_n{i}" for i in range(len(layers))]
-    hits = tally(sites, each).select("site_id", reduce(add, [F.col(n) for n in names]).alias("_hits"))
-    return sites.join(hits, "site_id")
+def flag_within(sites: DataFrame, rows: DataFrame, radius: float, name: str, kind: str = "point", value: int = 1):
+    """(site_id, name): `value` where any feature is within the radius, else 0. Radius 0 means touching."""
+    hits = near_places(sites, [Layer(rows, radius, kind=kind)]).withColumn(name, F.lit(value))
+    return sites.select("site_id", "x", "y").join(hits, ["x", "y"], "left").select("site_id", F.coalesce(name, F.lit(0)).alias(name))
 
 
 def exclude_near_any(sites: DataFrame, layers: list[Layer]) -> DataFrame:
-    """The sites that no layer comes near to, each layer with its own radius, in one pass over the sites."""
-    return _marked(sites, layers).filter("_hits = 0").select(*sites.columns)
+    """The sites that no layer comes near to, each layer with its own radius."""
+    return sites.join(near_places(sites, layers), ["x", "y"], "left_anti").select(*sites.columns)
 
 
 def exclude_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
@@ -191,7 +194,7 @@ def exclude_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str =
 
 def keep_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
     """The sites with any feature within the radius."""
-    return _marked(sites, [Layer(rows, radius, kind=kind)]).filter("_hits > 0").select(*sites.columns)
+    return sites.join(near_places(sites, [Layer(rows, radius, kind=kind)]), ["x", "y"], "left_semi").select(*sites.columns)
 
 
 def points_in_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from siterank.operators.roster import (
     conflicting_duplicates,
     dedupe_points,
     site_key,
+    unique_ids,
 )
 from siterank.operators.within import Layer, exclude_near_any, exclude_within, keep_within
 from siterank.sources.layers import point_rows
@@ -54,38 +55,38 @@ def all_additions(inputs: RosterInputs, removals: DataFrame) -> DataFrame:
     """Points to add, without those that are also to be removed."""
     study = inputs.study_additions.select("x", "y", F.lit(inputs.addition_tag).alias("point_type"))
     both = dedupe_points(study.unionByName(edit_additions(inputs)))
-    return exclude_within(with_site_id(both), removals, SAME_PLACE).drop("site_id")
+    return exclude_within(both, removals, SAME_PLACE)
 
 
 def extended_crossings(crossings: DataFrame, existing: DataFrame, tag: str) -> DataFrame:
     """The crossing layer (id, x, y, source) plus client crossings that are not near a known one."""
     members = point_rows(existing.select("points")).distinct()
-    fresh = exclude_within(with_site_id(members), crossings, EXISTING_REACH)
-    added = fresh.select(F.col("site_id").alias("id"), "x", "y", F.lit(tag).alias("source"))
-    return crossings.select("id", "x", "y", F.lit(None).cast("string").alias("source")).unionByName(added)
+    fresh = exclude_within(members, crossings, EXISTING_REACH)
+    added = fresh.select(site_key().alias("id"), "x", "y", F.lit(tag).alias("source"))
+    return crossings.select(F.col("id").cast("string").alias("id"), "x", "y", F.lit(None).cast("string").alias("source")).unionByName(added)
 
 
 def build_roster(inputs: RosterInputs) -> DataFrame:
-    """(site_id, x, y, point_type). site_id is a hash of the place.
+    """(site_id, x, y, point_type), staged. site_id is a hash of the place; a collision stops the plan.
 
     Base points and additions each pass one spatial join against all that excludes them. The merged points
     are written once before the last checks, which read them twice.
     """
     removals = stage(all_removals(inputs), "removals")
     existing = point_rows(inputs.existing.select("points"))
-    base = with_site_id(dedupe_points(inputs.base))
+    base = dedupe_points(inputs.base)
     kept = exclude_near_any(base, [Layer(removals, SAME_PLACE), Layer(existing, EXISTING_REACH)])
     added = all_additions(inputs, removals)
     points = kept.select("x", "y", "point_type").unionByName(added).unionByName(edit_additions(inputs))
     unique = dedupe_points(points).fillna({"point_type": inputs.addition_tag})
-    merged = stage(with_site_id(unique), "merged")
+    merged = stage(unique, "merged")
     gone = removals.unionByName(inputs.late_removals.select("x", "y"))
     left = exclude_near_any(merged, [Layer(gone, SAME_PLACE), Layer(inputs.removal_areas, 0.0, kind="area")])
     late = inputs.late_additions.select("x", "y", F.lit(inputs.late_tag).alias("point_type"))
     everything = dedupe_points(left.select("x", "y", "point_type").unionByName(late))
-    return with_site_id(everything).select("site_id", "x", "y", "point_type")
+    return unique_ids(stage(with_site_id(everything).select("site_id", "x", "y", "point_type"), "roster"))
 
 
 def missed_removals(inputs: RosterInputs) -> DataFrame:
     """Audit list: base points inside the removal areas."""
-    return keep_within(with_site_id(dedupe_points(inputs.base)), inputs.removal_areas, 0.0, "area")
+    return keep_within(dedupe_points(inputs.base), inputs.removal_areas, 0.0, "area")

@@ -57,8 +57,11 @@ def raster_cells(
     )
 
 
-def write_sites(df: DataFrame, path: str, by: str = "county", parts: int = 1) -> None:
-    """Write the result layer, one folder per region. A region's rows go to `parts` writers, so raise it
-    where one region holds much of the table."""
-    spread = F.pmod(F.xxhash64("site_id"), F.lit(parts))
-    df.repartition(F.col(by), spread).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_sites(df: DataFrame, path: str, by: str = "county", rows: int = 5_000_000) -> None:
+    """Write the result layer, one folder per region and at most `rows` rows to a file. A region's rows are counted
+    and dealt to as many writers as such files are needed."""
+    parts = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_parts"))
+    same = F.col(f"d.{by}").eqNullSafe(F.col(f"p.{by}"))
+    spread = df.alias("d").join(parts.alias("p"), same).select("d.*", F.pmod(F.xxhash64("d.site_id"), F.col("_parts")).alias("_part"))
+    dealt = spread.repartition(by, "_part").drop("_part")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(by).parquet(path)

@@ -8,7 +8,6 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-STUDY = {"study_features", "prioritized_sites"}  # both are parts of prioritized_subset
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STUDY])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_sql(spark, con, name):
     assert difference(spark, con, name, SF) is None
 
