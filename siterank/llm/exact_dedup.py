@@ -10,13 +10,13 @@ their bytes are links of one chain, told apart by their SHA-256.
 
 from __future__ import annotations
 
-import uuid
 from math import ceil, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siterank.sources.staging import stage, stage_root
+from siterank.llm.files import new_folder
+from siterank.sources.staging import stage
 
 BLANK = r"[\x20\x09-\x0D]+"
 CAPACITY = 1_000_000
@@ -48,7 +48,7 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, first_depth: int | No
     spark = rows.sparkSession
     if first_depth is None:
         first_depth = max(FIRST_DEPTH, ceil(log2(max(1, rows.count()) / capacity)))
-    root = f"{stage_root(spark)}/siterank/hash-index-{uuid.uuid4().hex}"
+    root = new_folder(spark, "hash-index")
     level = (
         rows.groupBy("_key", "_bare", "_chars")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))

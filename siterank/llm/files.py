@@ -20,7 +20,7 @@ from siterank.sources.staging import stage_root
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name below spark.checkpoint.dir that no other run uses."""
-    return f"{stage_root(spark)}/siterank/{name}-{uuid.uuid4().hex}"
+    return f"{stage_root(spark)}/siterank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 _shipped: set[str] = set()
