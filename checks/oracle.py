@@ -559,10 +559,14 @@ SCORES = r6(
 )
 twin("study_features", f"SELECT {RAW}, point_type FROM features", STUDY)
 twin("prioritized_sites", f"SELECT {RAW}, point_type, {SCORES}, priority_rank, county_priority_rank FROM all_scored", STUDY)
-twin("prioritized_subset", f"""SELECT {RAW}, {SCORES}, priority_rank, county_priority_rank,
+SUBSET = f"""SELECT {RAW}, {SCORES}, priority_rank, county_priority_rank,
     CASE WHEN county IN ({RANKED}) THEN {ID.format(r='geo')} END AS county_id,
     coalesce(point_type, (SELECT arg_min(p.newpointty, row({pt_d2('s', 'p')}, p.id)) FROM edits p
       WHERE {near_square('s', 'p', '2::DOUBLE')} AND {pt_d2('s', 'p')} <= 4), '{ADDITION}') AS point_type,
     CASE WHEN {exists_point('late_additions', '0.01::DOUBLE')} THEN 'new adds'
       WHEN {exists_point('confirmed', '2::DOUBLE')} THEN 'confirmed v2' END AS source_check
-    FROM (SELECT *, rank() OVER (PARTITION BY county ORDER BY y DESC, x ASC) AS geo FROM away_scored) s""", STUDY)
+    FROM (SELECT *, rank() OVER (PARTITION BY county ORDER BY y DESC, x ASC) AS geo FROM away_scored) s"""
+twin("prioritized_subset", SUBSET, STUDY)
+twin("subset_ranked_against", f"""SELECT p.* REPLACE (CASE WHEN p.county = 'Dakota' THEN a.theirs ELSE p.county_priority_rank END
+    AS county_priority_rank) FROM ({SUBSET}) p
+    LEFT JOIN (SELECT x AS ax, y AS ay, county_priority_rank AS theirs FROM all_scored) a ON p.x = ax AND p.y = ay""", STUDY)

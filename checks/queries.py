@@ -531,3 +531,14 @@ def prioritized_subset(spark, d):
         _study_features(spark, d), L.edits(spark, d), L.confirmed(spark, d), L.late_additions(spark, d), L.ADDITION
     )
     return _presented(out)
+
+
+@query
+def subset_ranked_against(spark, d):
+    """The subset with one county's ranks taken from the full table."""
+    features = _study_features(spark, d)
+    out = prioritize_subset(
+        features, L.edits(spark, d), L.confirmed(spark, d), L.late_additions(spark, d), L.ADDITION,
+        ranked_against=(prioritize(features), "Dakota"),
+    )
+    return _presented(out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siterank.operators.labels import NAMING_REACH, describe_site, location_text, major_river_flag
-from siterank.operators.lookup import Lookup, assign_region, lookup_within
+from siterank.operators.lookup import Lookup, lookup_within
 from siterank.operators.roster import SAME_TYPE, drop_where
 
 # Counties outside the study area (fixed values).
@@ -33,15 +33,21 @@ class LabelLayers:
 def label_sites(sites: DataFrame, layers: LabelLayers, outside: tuple[str, ...] = OUTSIDE) -> DataFrame:
     """Sites inside the study area with county, city, designation, river flag, barrier and texts."""
     own_type = lookup_within(sites, [Lookup(layers.base, SAME_TYPE, "id", {"point_type": "point_type"})], "point")
-    county = assign_region(sites, layers.counties, "cty_name", "county", NAMING_REACH)
-    city = assign_region(sites, layers.cities, "name", "city", NAMING_REACH)
-    designation = assign_region(sites, layers.designations, "designation", "community_designation", 0.0)
+    regions = lookup_within(
+        sites,
+        [
+            Lookup(layers.counties, NAMING_REACH, "id", {"county": "cty_name"}),
+            Lookup(layers.cities, NAMING_REACH, "id", {"city": "name"}),
+            Lookup(layers.designations, 0.0, "id", {"community_designation": "designation"}),
+        ],
+        "area",
+    )
     river = major_river_flag(sites, layers.streams)
     text = describe_site(
         sites, layers.barriers, layers.streams, layers.railroads, layers.expressways, layers.roads
     )
     out = sites.select("site_id", "x", "y")
-    for part in (own_type, county, city, designation, river, text):
+    for part in (own_type, regions, river, text):
         out = out.join(part, "site_id")
     out = out.withColumn(
         "location_desc", location_text(F.col("barrier_type"), F.col("barrier_desc"), F.col("city"), F.col("county"))
