@@ -166,7 +166,7 @@ def _divisor(a: Column, b: Column) -> Column:
             F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % F.when(s["b"] != 0, s["b"])).alias("b"),
         ),
     )
-    return ended["a"]
+    return F.when(b == 0, a).otherwise(ended["a"])  # lines along an axis need no steps
 
 
 def dissolve_pieces(segs: DataFrame, keys: list[str], chunk: float = 1000.0) -> DataFrame:

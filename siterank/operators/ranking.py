@@ -48,11 +48,13 @@ def rank_rows(
     name: str,
     part: list[str] | None = None,
     id: str = "site_id",
+    staged: bool = False,
 ) -> DataFrame:
     """Add the rank (ties share it, gaps follow) of each row by `order` over `keys`, within groups `part`.
 
-    df is read twice, so pass a staged table where it is costly to work out."""
+    df is read for the counts, for its heavy keys and for the join, so it is staged first, unless it is already."""
     part = part or []
+    df = df if staged else stage(df, "ranked")
     places = _positions(df, keys, order, part).select(
         *part, *keys, (F.col("_before") + 1).cast("bigint").alias(name)
     )
@@ -83,10 +85,11 @@ def geographic_rank(
 
 
 def _within_groups(df, part, keys, order, name, groups) -> DataFrame:
+    df = stage(df, "ranked")
     listed = F.col(part).isin(*groups) if groups is not None else F.lit(True)
     ranked = df.filter(F.coalesce(listed, F.lit(False)))
     rest = df.filter(~F.coalesce(listed, F.lit(False))).withColumn(name, F.lit(None).cast("bigint"))
-    return rank_rows(ranked, keys, order, name, [part]).unionByName(rest)
+    return rank_rows(ranked, keys, order, name, [part], staged=True).unionByName(rest)
 
 
 def rank_against(
