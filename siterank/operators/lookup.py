@@ -15,7 +15,7 @@ from siterank.operators.within import GEOMETRY, dist2, geometry_columns, near_fe
 from siterank.sources.staging import stage
 
 BLOCK = 64  # features of a block, unless they are at one place
-HALVINGS = 40  # a block's side is halved at most so often
+CUTS = 24  # a block's side is cut in four at most so often
 
 
 @dataclass(frozen=True)
@@ -142,12 +142,12 @@ def nearest(
 
 def _blocks(feats: DataFrame, side: float) -> tuple[DataFrame, float]:
     """Features with their block (_side, _bx, _by), staged, and the side at which most of them lie: squares of the
-    given side, cut in four again and again where more than BLOCK features have their middle in one. Only features
+    given side, cut in sixteen again and again where more than BLOCK features have their middle in one. Only features
     of overfull blocks are looked at again, so a far outlier or a dense town costs rounds and not wide blocks."""
     middle = [(F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2]
     square = ["_side", "_bx", "_by"]
     done, rest, most = None, stage(feats, "features"), (0, side)
-    for _ in range(HALVINGS):
+    for _ in range(CUTS):
         cut = rest.withColumns({"_side": F.lit(side), "_bx": F.floor(middle[0] / side), "_by": F.floor(middle[1] / side)})
         full = cut.groupBy(*square).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK)
         full = stage(full.select(*square), "overfull")
@@ -157,7 +157,7 @@ def _blocks(feats: DataFrame, side: float) -> tuple[DataFrame, float]:
         done = ready if done is None else done.unionByName(ready)
         most = max(most, (ready.count(), side))
         rest = stage(cut.join(full, square, "left_semi").select(*feats.columns), "features")
-        side /= 2
+        side /= 4
     cut = rest.withColumns({"_side": F.lit(side), "_bx": F.floor(middle[0] / side), "_by": F.floor(middle[1] / side)})
     if done is None:
         return cut, side
