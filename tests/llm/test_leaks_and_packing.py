@@ -63,6 +63,23 @@ def test_changed_parameters(spark, odd, none):
     assert drop_contaminated(odd, items).count() == 12
 
 
+def test_few_ordinary_words(spark):
+    pairs = [
+        ("What is 12 + 30 + 45 + 60?", "What is 13 + 31 + 44 + 62?", "What was 13 + 31 + 44 + 62?"),
+        ("Compute 3 + 4", "Compute 5 + 9", "Guess 5 + 9"),
+        ("The Sum Of 12 And 30 Is Less Than 50", "The Sum Of 13 And 31 Is Less Than 60", "The Root Of 13 Or 31 Was More Than 60"),
+        ("how far is it by train from Paris to Lyon?", "how far is it by train from New York to Salt Lake City?", "how far was it by car from New York to Rome?"),
+        ("add up 3 4 5 6 7 8 9 10 11 12 and halve it", "add up 4 5 6 7 8 9 10 11 12 13 and halve it", "add up 4 5 6 7 8 9 10 11 12 13 or cube that"),
+        ("please sort 9 8 7 6 5 4 3", "please sort 8 6 4 2 1 3 5", "please add 8 6 4 2 1 3 5"),
+        ("Alice owes 30 to Bob", "Carla owes 50 to Jean Luc", "Carla pays 50 for Jean Luc"),
+    ]
+    items = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pairs)] + [(99, "71 82 93 104 115")], "item_id int, text string")
+    docs = [(f"{i} {k}", f"some words before it. {t} And more after.") for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    docs.append(("none", "Nothing but 1 2 3 4 5 6 in here."))
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in contaminated(spark.createDataFrame(docs, "doc_id string, text string"), items).collect()}
+    assert got == {(f"{i} {k}", i): k == 1 for i in range(len(pairs)) for k in (0, 1)}
+
+
 def test_shingles_are_those_of_the_words():
     texts = [b"", b" \n", b"One", b"one TWO", b"\x0bone\x0ctwo\r", b"a b a b", b"x" * 9000 + b" y", b"a\x1cb c", "é É".encode()]
     tokens, first = shingle_sets(*bytes_of(pa.array(texts, pa.binary())), 2)
