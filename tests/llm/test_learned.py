@@ -116,6 +116,25 @@ def test_words_and_classes_share_out_all_probability(spark):
     assert abs(total - 1) < 1e-6
 
 
+def test_language_model_grows_with_its_text(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    words = lm.gather_words(lm.count_words(docs), docs.count())
+    size = len(words.core)
+    assert size == 1 + lm.CLASSES + len(words.heads) == math.ceil(4 * math.sqrt(words.tokens)) > lm.ENTRIES
+    sent = spark.sparkContext.broadcast(words)
+    pairs = lm.neighbour_pairs(docs, sent).cache()
+    top = pairs.agg(F.sum("n"), F.max("before"), F.max("entry")).first()
+    assert tuple(top) == (words.tokens, size - 1, size - 1) and lm.core_counts(pairs, sent).sum() == words.tokens
+    context, target, bias, sums = lm.learn_vectors(pairs, sent)
+    p = np.exp((context[::100] @ target.T + bias - sums[::100, None]).astype(float))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    held = lambda: lm.score(docs, learn).filter(~learn).agg(F.sum("score")).first()[0]
+    grown = held()
+    monkeypatch.setattr(lm, "GROWTH", 0)
+    assert grown > held()
+
+
 def test_language_model_odd_rows(odd, none):
     rows = lm.score(odd, F.col("doc_id") != 5).collect()
     assert sorted(r.n_tokens for r in rows if r.doc_id in (2, 3, 4)) == [1, 1, 1] and len(rows) == 12
