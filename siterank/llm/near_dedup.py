@@ -16,7 +16,7 @@ bounded size, and only links that join components go out. Nothing is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, sqrt
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +49,24 @@ SKETCH = "id {id}, size int, k1 long, k2 long, roots array<long>, sketch binary"
 
 
 def plan(similarity: int) -> tuple[int, int, float]:
-    """(children chosen per node, trees, share of a sketch that must agree) for a similarity in percent. A pair's
-    path dies out in a tree with chance q = (1 - s + s q) ** children; alike means within five deviations."""
+    """(children chosen per node, trees, share of a sketch that must agree) for a similarity in percent. How many of
+    the sketch's places agree is binomial, and below their roots all trees branch on these places: with a share of p
+    agreeing, a path dies out with chance q = (1 - p + p q) ** children. Too few agreeing places, and no tree that
+    keeps the pair, summed over the numbers of agreeing places, have at most half of MISS each."""
     s = min(0.999, similarity / 100)
     children = max(2, ceil(1.6 / s))
-    q = 0.0
-    for _ in range(200):
-        q = (1 - s + s * q) ** children
-    return children, max(1, ceil(log(MISS) / log(max(q, 1e-12)))), s - 5 * sqrt(s * (1 - s) / PLACES)
+    chance = [comb(PLACES, j) * s**j * (1 - s) ** (PLACES - j) for j in range(PLACES + 1)]
+    least = max([1, *(j for j in range(PLACES + 1) if sum(chance[:j]) <= MISS / 2)])
+    missed = []  # by one tree
+    for j in range(PLACES + 1):
+        p, q = j / PLACES, 0.0
+        for _ in range(200):
+            q = (1 - p + p * q) ** children
+        missed.append((1 - s + s * q) ** children)
+    trees, most = 1, len(_ROOT) // children
+    while trees < most and sum(c * m**trees for c, m in zip(chance[least:], missed[least:])) > MISS / 2:
+        trees += 1
+    return children, trees, least / PLACES
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, similarity: int) -> DataFrame:

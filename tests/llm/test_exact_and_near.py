@@ -1,5 +1,6 @@
 """Exact and near duplicates, and components, against brute force."""
 
+import math
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -96,3 +97,15 @@ def test_connected(spark):
     chain = [(i, i + 1) for i in range(50, 90)] + [(3, 90), (7, 7), (200, 201), (201, 200), (None, 5)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 3 for i in [3, *range(50, 91)]} | {200: 200, 201: 200}
+
+
+def test_summed_chance_to_miss_a_pair():
+    """Places of the sketch that agree are shared by all trees, so the chances are summed over their number."""
+    children, trees, share = near_dedup.plan(80)
+    total = 0.0
+    for j in range(near_dedup.PLACES + 1):
+        chance, p, q = math.comb(near_dedup.PLACES, j) * 0.8**j * 0.2 ** (near_dedup.PLACES - j), j / near_dedup.PLACES, 0.0
+        for _ in range(300):
+            q = (1 - p + p * q) ** children
+        total += chance * (1 if j < share * near_dedup.PLACES else (0.2 + 0.8 * q) ** children) ** trees
+    assert total <= near_dedup.MISS
