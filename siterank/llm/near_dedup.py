@@ -145,10 +145,11 @@ def _nodes(points: DataFrame, limit: int) -> DataFrame:
 class _Node:
     """The documents of one first-level node, in one task."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, similarity: int):
+    def __init__(
+        self, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, similarity: int, children: int, least: int
+    ):
         self.ids, self.sizes, self.sketch, self.similarity = ids, sizes.astype(np.int64), sketch, similarity
-        self.children, _, alike = plan(similarity)
-        self.least = ceil(alike * PLACES)
+        self.children, self.least = children, least
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
         self.cores: list[tuple[int, np.ndarray]] = []
 
@@ -257,10 +258,12 @@ def _scan(rows: DataFrame, by: str, visit, schema: str) -> DataFrame:
 def candidates(nodes: DataFrame, similarity: int) -> DataFrame:
     """(a, b, same, star): pairs whose sketches agree in `same` places, from small nodes; as star, the ties of cores
     to their middle documents, those of too little agreement included."""
+    children, _, alike = plan(similarity)  # once, not in every node
+    least = ceil(alike * PLACES)
 
     def visit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         sketch = bytes_of(rows.column("sketch").combine_chunks())[0].view(np.uint16).reshape(rows.num_rows, PLACES)
-        here = _Node(rows.column("id").to_numpy(), rows.column("size").to_numpy(), sketch, similarity)
+        here = _Node(rows.column("id").to_numpy(), rows.column("size").to_numpy(), sketch, similarity, children, least)
         here.compare(rows.column("node")[0].as_py() & (2**64 - 1))
         here.tie()
         if here.found:
