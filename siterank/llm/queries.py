@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siterank.llm import language, lm, quality
+from siterank.llm import language, lm, quality, repair
 from siterank.llm.chat import format_messages, read_back, text_part
 from siterank.llm.decontaminate import contaminated
 from siterank.llm.exact_dedup import exact_groups
 from siterank.llm.files import ship_package
+from siterank.llm.mixing import shares
 from siterank.llm.near_dedup import near_groups
 from siterank.llm.packing import pack
+from siterank.llm.phrases import collocations, strongest
 from siterank.llm.url_filter import judge_urls
 from siterank.llm.warc import read_archives, record_types, write_archives
+from siterank.sources.staging import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +131,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to target weights takes of every document."""
+    return shares(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """Conversations with the faults that their ids and turns call for; NULLs are one space."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(named("conv_id"), F.lit(":"), named("turn")).cast("binary")) % 20
+    rows = talks.select("conv_id", "turn", named("role").alias("role"), named("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("fault") == 0, 0).when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), times)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    broken = damaged(talks)
+    found = stage(repair.find_repairs(broken), "repairs")
+    digests = repair.digests(repair.repaired(broken, found))
+    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    all_ = talks.select("conv_id").distinct().alias("c").join(found.alias("f"), same("c", "f"), "left").join(digests.alias("d"), same("c", "d"), "left")
+    numbers = [F.coalesce(f"f.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_.select(
+        "c.conv_id", *numbers, F.coalesce("f.audit", F.lit("")).alias("audit"),
+        F.coalesce("d.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of every language."""
+    found = collocations(_table(spark, sf_dir, "documents"))
+    return strongest(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -139,6 +181,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_repair": op12_repair,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE = {
@@ -186,4 +231,97 @@ ORACLE = {
         g AS (SELECT doc_id, bare, first_value(doc_id) OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY bare) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM g""",
+    "op11_mixing": r"""
+        WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM t GROUP BY source),
+        w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap,
+                     (SELECT 1.5::DOUBLE * sum(size) FROM t) AS budget FROM s),
+        o AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest FROM w
+              WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT (budget - used) / rest AS level FROM o WHERE cap >= weight * ((budget - used) / rest) ORDER BY cap / weight, rank LIMIT 1),
+        g AS (SELECT w.*, least(cap, weight * level) AS target FROM w, l),
+        k AS (SELECT 1 + (SELECT count(*) FROM g) * 128 / (SELECT sum(target) FROM g WHERE target < cap) AS last),
+        q AS (SELECT row_number() OVER fair AS id, t.doc_id, t.size, g.source_size, g.target, g.rank,
+                     sum(t.size) OVER (PARTITION BY g.rank ORDER BY left(md5('0:' || coalesce(doc_id::VARCHAR, '')), 16), doc_id NULLS FIRST, size
+                                       ROWS UNBOUNDED PRECEDING) - t.size AS ahead
+              FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source
+              WINDOW fair AS (ORDER BY g.rank, left(md5('0:' || coalesce(doc_id::VARCHAR, '')), 16), doc_id NULLS FIRST, size)),
+        u AS (SELECT *, turn * source_size + ahead AS start FROM q, (VALUES (0), (1)) v(turn) WHERE size > 0),
+        p AS (SELECT *, CASE WHEN start + size <= target THEN size ELSE 128 END AS step FROM u, k WHERE start <= target * last),
+        e AS (SELECT *, unnest(range(0, size, step)) AS low FROM p),
+        f AS (SELECT *, least(step, size - low) AS words, (start + low + least(step, size - low))::DOUBLE / target AS finish FROM e),
+        m AS (SELECT id, words, sum(words) OVER (ORDER BY finish, rank, turn, id, low ROWS UNBOUNDED PRECEDING) - words AS place FROM f),
+        x AS (SELECT id, sum(least(words, floor((SELECT max(budget) FROM w))::BIGINT - place))::BIGINT AS taken FROM m
+              WHERE place < floor((SELECT max(budget) FROM w))::BIGINT GROUP BY id)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN x USING (id)""",
+    "op12_repair": r"""
+        WITH RECURSIVE
+        steps(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL
+                           SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS table_ FROM steps WHERE k = 8),
+        t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        h AS (SELECT t.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT),
+                          lambda a, b: xor(a >> 8, table_[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fault FROM t, crc),
+        m AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                     CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM h, range(2) c(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+        o AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+                     CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial,
+                     row_number() OVER fair AS pos FROM m WINDOW fair AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+        y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS said FROM o),
+        f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN said THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                     lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM y),
+        -- (cost, letters) of the cheapest way on from a message, by what was said before: nothing, system, user, assistant
+        dp(conv_id, pos, n, s, u, a) AS (
+            SELECT conv_id, max(pos) + 1, {'c': 0, 'l': ''}, {'c': 10, 'l': 'II'}, {'c': 5, 'l': 'I'}, {'c': 0, 'l': ''} FROM f GROUP BY conv_id
+            UNION ALL
+            SELECT conv_id, pos, list_min([rn, {'c': iu.c + 5, 'l': 'I' || iu.l}]), list_min([rs, {'c': iu.c + 5, 'l': 'I' || iu.l}]), iu, ia
+            FROM (SELECT conv_id, pos, rn, rs, list_min([ru, {'c': ra.c + 5, 'l': 'I' || ra.l}]) AS iu, list_min([ra, {'c': ru.c + 5, 'l': 'I' || ru.l}]) AS ia
+            FROM (SELECT f.conv_id, f.pos,
+                         list_min([{'c': d.n.c + 2, 'l': 'D' || d.n.l}, {'c': d.u.c + stay + 1, 'l': 'R' || d.u.l},
+                                   {'c': CASE f.initial WHEN 's' THEN d.s.c WHEN 'u' THEN d.u.c ELSE 1000000 END + stay, 'l': 'K' || CASE f.initial WHEN 's' THEN d.s.l ELSE d.u.l END}]) AS rn,
+                         list_min([{'c': d.s.c + 2, 'l': 'D' || d.s.l}, {'c': d.u.c + stay + 1, 'l': 'R' || d.u.l},
+                                   {'c': CASE f.initial WHEN 'u' THEN d.u.c ELSE 1000000 END + stay, 'l': 'K' || d.u.l}]) AS rs,
+                         list_min([{'c': d.u.c + 2, 'l': 'D' || d.u.l}, {'c': d.a.c + stay + 1, 'l': 'R' || d.a.l},
+                                   {'c': CASE f.initial WHEN 'a' THEN d.a.c ELSE 1000000 END + stay, 'l': 'K' || d.a.l}]) AS ru,
+                         list_min([{'c': d.a.c + 2, 'l': 'D' || d.a.l}, {'c': d.u.c + stay + 1, 'l': 'R' || d.u.l},
+                                   {'c': CASE f.initial WHEN 'u' THEN d.u.c ELSE 1000000 END + stay, 'l': 'K' || d.u.l}]) AS ra
+                  FROM dp d JOIN (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stay FROM f) f
+                       ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos - 1))),
+        best AS (SELECT conv_id, n.c AS cost, n.l AS audit FROM dp WHERE pos = 1),
+        e AS (SELECT f.*, audit[f.pos] AS letter FROM f JOIN best b ON b.conv_id IS NOT DISTINCT FROM f.conv_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS place,
+                     first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY conv_id ORDER BY pos) AS led FROM e WHERE letter <> 'D'),
+        r AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                                || ':' || text, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY conv_id),
+        v AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_phrases": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+        g AS (SELECT lang, ws[pos:pos + k - 1] AS phrase, k, count(*) AS f FROM i, (VALUES (1), (2), (3), (4), (5)) v(k)
+              WHERE pos + k - 1 <= len(ws) GROUP BY lang, ws[pos:pos + k - 1], k HAVING count(*) >= 100),
+        c AS (SELECT g.lang, g.phrase, g.k, g.f, unnest(range(1, g.k)) AS cut FROM g WHERE g.k > 1),
+        s AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, x.f AS l, y.f AS r, n.n,
+                     ((1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+              FROM c JOIN g x ON x.lang = c.lang AND x.phrase = c.phrase[1:cut] JOIN g y ON y.lang = c.lang AND y.phrase = c.phrase[cut + 1:]
+              JOIN n ON n.lang = c.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        d AS (SELECT lang, unnest([phrase[1:k - 1], phrase[2:]]) AS phrase, f FROM g WHERE k > 2),
+        z AS (SELECT lang, phrase, max(f) AS above FROM d GROUP BY lang, phrase),
+        r AS (SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, l, r, n, score FROM b LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase
+              WHERE above IS NULL OR 100 * above < 100 * a),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
 }
