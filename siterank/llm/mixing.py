@@ -64,7 +64,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         n, used, left = rows.agg(
             F.count(F.when(full, 1)), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("_weight")))
         ).first()
-        if n == out or not left:
+        if n <= out or not left:
             break
         level, out = (budget - (used or 0.0)) / left, n
     target = F.least(cap, F.col("_weight") * level)

@@ -193,8 +193,8 @@ BLOCKS = (
 FOUND = "_conv {conv}, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
-def _blocks(narrow: DataFrame) -> DataFrame:
-    """One row for each run of at most BLOCK messages of a conversation, numbered (part, at) in their order."""
+def _blocks(narrow: DataFrame, most: int) -> DataFrame:
+    """One row for each run of at most so many messages of a conversation, numbered (part, at) in their order."""
     kind = narrow.schema["_conv"].dataType.simpleString()
     schema = BLOCKS.format(conv=kind)
 
@@ -217,7 +217,7 @@ def _blocks(narrow: DataFrame) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 c, turn, role, sha, initial, blank, said, cut = row
                 copy = before is not None and row[:4] == before
-                if before is None or c != now or len(messages) == BLOCK:
+                if before is None or c != now or len(messages) == most:
                     close()
                 if messages and messages[-1][0] + initial not in LEGAL:
                     illegal += 1
@@ -250,7 +250,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def find_repairs(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def find_repairs(
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK
+) -> DataFrame:
     """One row for each conversation: the conv column, gaps, blank, duplicate, truncated, illegal, cost and audit.
 
     Messages are taken by turn, NULL first; of one turn by role and the SHA-256 of the text. A message has the first
@@ -281,7 +283,7 @@ def find_repairs(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     marked = narrow.alias("m").join(again.alias("a"), _same("m", "a", "_conv", "_role", "_sha"), "left").select(
         "m.*", (F.col("a.n").isNotNull() & ~F.col("m._turn").eqNullSafe(F.col("a.first.turn"))).alias("said")
     )
-    blocks = stage(_blocks(stage(marked, "marked")), "blocks")
+    blocks = stage(_blocks(stage(marked, "marked"), block), "blocks")
 
     schema = FOUND.format(conv=kind)
     out_schema = _arrow(blocks, schema)
