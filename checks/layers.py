@@ -243,6 +243,27 @@ def diagonals(spark, d) -> DataFrame:
     )
 
 
+ZONE, TOOTH, STEP = 1500, 37, 6  # metres: a zone's side, its teeth and half their width
+
+
+def zones(spark, d) -> DataFrame:
+    """Squares with toothed sides of 1,000 corners, with a square hole."""
+    k = F.col("s_suppkey")
+    x0, y0 = spot(k, 6007), spot(k, 2003)
+
+    def corner(i: Column) -> Column:
+        along, tooth = (i % 250 * STEP).cast("double"), (i % 250 % 2 * TOOTH).cast("double")
+        side = F.floor(i / 250)
+        x = F.when(side == 0, along).when(side == 1, ZONE - tooth).when(side == 2, ZONE - along).otherwise(tooth)
+        y = F.when(side == 0, tooth).when(side == 1, along).when(side == 2, ZONE - tooth).otherwise(ZONE - along)
+        return F.struct((x0 + x).alias("x"), (y0 + y).alias("y"))
+
+    rim = F.transform(F.sequence(F.lit(0), F.lit(999)), corner)
+    hole = F.array(*[F.struct((x0 + x).alias("x"), (y0 + y).alias("y")) for x, y in ((500.0, 500.0), (900.0, 500.0), (900.0, 900.0), (500.0, 900.0))])
+    rings = table(spark, d, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"), F.array(rim, hole).alias("rings"))
+    return rings.select("id", "name", "value", ring_edges(F.col("rings")).alias("edges"))
+
+
 def corridors(spark, d) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").select(

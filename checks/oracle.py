@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.layers import ADDITION, COUNTY_NAMES, LATE
-from checks.oracle_layers import near_box, near_square, pt_d2, seg_d2, square_d2, triangle_d2, with_layers
+from checks.oracle_layers import near_box, near_square, pt_d2, seg_d2, square_d2, triangle_d2, with_layers, zones_by_edge
 
 R_MI, R_HALF, R_QTR, R_CRASH, R_RAIL, R_CORR = (
     f"{r}::DOUBLE" for r in (1609.34, 804.672, 402.336, 152.4, 121.92, 60.96)
@@ -426,6 +426,11 @@ twin("areas_within", for_all(f"SELECT s.site_id, count(*) AS n FROM {triangles_n
      "coalesce(n, 0) AS n"))
 AREA_COLS = [c for c in AVERAGED if c != "avg_slope"]
 twin("avg_areas_within", for_all(F["f_taz"], r6(*AREA_COLS)))
+ZONES = {n: zones_by_edge(r) for n, r in (("zones_here", "0::DOUBLE"), ("zones_half", R_HALF), ("zones_mile", R_MI))}
+twin("points_in_zones", "SELECT site_id, id FROM zones_here", ZONES)
+twin("avg_zones_within", for_all("SELECT site_id, avg(value) AS v, count(*) AS n FROM zones_half GROUP BY site_id", "round(v, 6) AS value, coalesce(n, 0) AS n"), ZONES)
+twin("flag_in_zones", for_all("SELECT DISTINCT site_id, 10 AS n FROM zones_here", "coalesce(n, 0)::INT AS in_zone"), ZONES)
+twin("assign_zone", for_all("SELECT site_id, arg_min(name, row(d2, id)) AS v FROM zones_mile GROUP BY site_id", "f.v AS zone"), ZONES)
 twin("exclude_within", f"SELECT * FROM sites s WHERE NOT {exists_point('removals', '2::DOUBLE')}")
 twin("exclude_existing", f"SELECT * FROM sites s WHERE NOT {exists_point('existing', R_CRASH)}")
 twin("keep_within", f"SELECT * FROM sites s WHERE EXISTS (SELECT 1 FROM removal_areas a WHERE {square_d2('s', 'a')} <= 0)")

@@ -66,6 +66,23 @@ def triangle_d2(p: str, a: str) -> str:
     )
 
 
+def zones_by_edge(r: str, sites: str = "sites") -> str:
+    """(site_id, id, name, value, d2): every zone within r of every site; d2 is 0 inside and at the rim to it."""
+    return f"""SELECT site_id, id, name, value, CASE WHEN bool_or(d2 = 0) OR sum(crossed::INT) % 2 = 1 THEN 0 ELSE min(d2) END AS d2 FROM (
+          SELECT *, CASE WHEN dot <= 0 THEN d1 WHEN dot >= long THEN dd ELSE turn * turn / long END AS d2,
+                 CASE WHEN dot <= 0 THEN d1 <= {r} * {r} WHEN dot >= long THEN dd <= {r} * {r} ELSE turn * turn <= {r} * {r} * long END AS near,
+                 ((y1 > y) <> (y2 > y)) AND ((turn < 0) = (y2 > y1)) AS crossed FROM (
+            SELECT s.site_id, e.id, e.name, e.value, s.x, s.y, e.x1, e.y1, e.x2, e.y2,
+                   (s.x - e.x1) * (e.x2 - e.x1) + (s.y - e.y1) * (e.y2 - e.y1) AS dot,
+                   (e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1) AS long,
+                   (s.x - e.x1) * (e.y2 - e.y1) - (s.y - e.y1) * (e.x2 - e.x1) AS turn,
+                   (s.x - e.x1) * (s.x - e.x1) + (s.y - e.y1) * (s.y - e.y1) AS d1,
+                   (s.x - e.x2) * (s.x - e.x2) + (s.y - e.y2) * (s.y - e.y2) AS dd
+            FROM {sites} s, zone_edges e
+            WHERE s.x BETWEEN e.x0 - {r} AND e.x0 + 1500 + {r} AND s.y BETWEEN e.y0 - {r} AND e.y0 + 1500 + {r}))
+        GROUP BY ALL HAVING bool_or(near) OR sum(crossed::INT) % 2 = 1"""
+
+
 def near_box(p: str, s: str, r: float) -> str:
     """Cheap box test in front of an exact distance."""
     return (
@@ -140,6 +157,14 @@ LAYERS = {
         CASE WHEN o_orderkey % 3 = 0 THEN {spot('o_orderkey', 11003)} ELSE 9000 + o_orderkey * 11003 % 300 END AS y FROM orders""",
     "diagonals": """SELECT o_orderstatus AS regstat, o_orderkey * 7 % 100 AS street, o_orderkey * 37 % 9000 AS lo,
         o_orderkey * 37 % 9000 + 100 AS hi FROM orders""",
+    "zones": f"""SELECT s_suppkey AS id, s_name AS name, s_acctbal AS value, {spot('s_suppkey', 6007)} AS x0, {spot('s_suppkey', 2003)} AS y0 FROM supplier""",
+    "zone_corners": """SELECT i, CASE i // 250 WHEN 0 THEN along WHEN 1 THEN 1500 - tooth WHEN 2 THEN 1500 - along ELSE tooth END AS cx,
+          CASE i // 250 WHEN 0 THEN tooth WHEN 1 THEN along WHEN 2 THEN 1500 - tooth ELSE 1500 - along END AS cy
+        FROM (SELECT i, (i % 250 * 6)::DOUBLE AS along, (i % 250 % 2 * 37)::DOUBLE AS tooth FROM range(1000) r(i))
+        UNION ALL SELECT 1000 + i, [500.0, 900.0, 900.0, 500.0][i + 1]::DOUBLE, [500.0, 500.0, 900.0, 900.0][i + 1]::DOUBLE FROM range(4) r(i)""",
+    "zone_edges": """SELECT z.id, z.name, z.value, z.x0, z.y0, z.x0 + a.cx AS x1, z.y0 + a.cy AS y1, z.x0 + b.cx AS x2, z.y0 + b.cy AS y2
+        FROM zones z, zone_corners a, zone_corners b
+        WHERE b.i = CASE a.i WHEN 999 THEN 0 WHEN 1003 THEN 1000 ELSE a.i + 1 END""",
     "corridors": f"""SELECT s_suppkey AS id, {spot('s_suppkey', 5441)} AS ax, {spot('s_suppkey', 13007)} AS ay,
         2500.0::DOUBLE AS w FROM supplier""",
     "trails": zigzag(

@@ -124,6 +124,27 @@ def avg_areas_within(spark, d):
     return rounded(within.avg_areas_within(L.sites(spark, d), L.areas(spark, d), HALF, TAZ | DEMOGRAPHICS))
 
 
+@query
+def points_in_zones(spark, d):
+    return within.points_in_areas(L.sites(spark, d), L.zones(spark, d))
+
+
+@query
+def avg_zones_within(spark, d):
+    layer = within.Layer(L.zones(spark, d), HALF, within.averages({"value": "value"}) | {"n": F.lit(1).cast("bigint")}, "area")
+    return rounded(within.finish_averages(within.tally(L.sites(spark, d), [layer]), ["value"]))
+
+
+@query
+def flag_in_zones(spark, d):
+    return within.flag_within(L.sites(spark, d), L.zones(spark, d), 0.0, "in_zone", "area", 10)
+
+
+@query
+def assign_zone(spark, d):
+    return lookup.assign_region(L.sites(spark, d), L.zones(spark, d), "name", "zone", 1609.34)
+
+
 @query
 def exclude_within(spark, d):
     return within.exclude_within(L.sites(spark, d), L.removals(spark, d), 2.0)

@@ -76,19 +76,42 @@ def _edge_length2(e: Column) -> Column:
     return point_dist2(e["x1"], e["y1"], e["x2"], e["y2"])
 
 
-def area_edge_near(x: Column, y: Column, edges: Column, reach2: Column) -> Column:
-    """Does any edge come within the (squared) reach? Without division, so exact for whole numbers."""
-    return F.exists(
-        edges,
-        lambda e: _edge_case(
-            x, y, e,
-            point_dist2(x, y, e["x1"], e["y1"]) <= reach2,
-            point_dist2(x, y, e["x2"], e["y2"]) <= reach2,
-            _off_line(x, y, e) <= reach2 * _edge_length2(e),
-        ),
+def edge_near(x: Column, y: Column, e, reach2: Column) -> Column:
+    """Does an edge (a struct or dict with x1, y1, x2, y2) come within the (squared) reach? Without division, so exact
+    for whole numbers."""
+    return _edge_case(
+        x, y, e,
+        point_dist2(x, y, e["x1"], e["y1"]) <= reach2,
+        point_dist2(x, y, e["x2"], e["y2"]) <= reach2,
+        _off_line(x, y, e) <= reach2 * _edge_length2(e),
+    )
+
+
+def edge_dist2(x: Column, y: Column, e) -> Column:
+    """Squared distance from a point to an edge (a struct or dict with x1, y1, x2, y2)."""
+    return _edge_case(
+        x, y, e,
+        point_dist2(x, y, e["x1"], e["y1"]),
+        point_dist2(x, y, e["x2"], e["y2"]),
+        _off_line(x, y, e) / _edge_length2(e),
     )
 
 
+def with_edge_near(df: DataFrame, name: str, x: Column, y: Column, e, reach2: Column) -> DataFrame:
+    """Add whether an edge comes within the (squared) reach, as edge_near has it, worked out in steps."""
+    keep = df.columns
+    df = settle(df, _kx=e["x2"] - e["x1"], _ky=e["y2"] - e["y1"], _ka=x - e["x1"], _kb=y - e["y1"], _kc=x - e["x2"], _kd=y - e["y2"])
+    kx, ky, ka, kb, kc, kd = (F.col(f"_k{c}") for c in "xyabcd")
+    df = settle(df, _dot=ka * kx + kb * ky, _long=kx * kx + ky * ky, _cross=ka * ky - kb * kx, _d1=ka * ka + kb * kb, _d2=kc * kc + kd * kd, _reach2=reach2)
+    near = F.when(F.col("_dot") <= 0, F.col("_d1") <= F.col("_reach2")).when(F.col("_dot") >= F.col("_long"), F.col("_d2") <= F.col("_reach2"))
+    return df.select(*keep, near.otherwise(F.col("_cross") * F.col("_cross") <= F.col("_reach2") * F.col("_long")).alias(name))
+
+
+def area_edge_near(x: Column, y: Column, edges: Column, reach2: Column) -> Column:
+    """Does any edge come within the (squared) reach?"""
+    return F.exists(edges, lambda e: edge_near(x, y, e, reach2))
+
+
 def area_holds(x: Column, y: Column, edges: Column) -> Column:
     """Is the point inside, by the parity of edges crossed on the way east? Holes count by parity too."""
 
@@ -101,17 +124,7 @@ def area_holds(x: Column, y: Column, edges: Column) -> Column:
 
 def area_dist2(x: Column, y: Column, edges: Column) -> Column:
     """Squared distance from a point to an area, 0 inside."""
-    rim = F.array_min(
-        F.transform(
-            edges,
-            lambda e: _edge_case(
-                x, y, e,
-                point_dist2(x, y, e["x1"], e["y1"]),
-                point_dist2(x, y, e["x2"], e["y2"]),
-                _off_line(x, y, e) / _edge_length2(e),
-            ),
-        )
-    )
+    rim = F.array_min(F.transform(edges, lambda e: edge_dist2(x, y, e)))
     return F.when(area_holds(x, y, edges), F.lit(0.0)).otherwise(rim)
 
 
@@ -122,6 +135,23 @@ def settle(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", row).select(*df.columns, *[F.col(f"_row.{n}").alias(n) for n in cols])
 
 
+def with_segment_dist2(df: DataFrame, seg: tuple[Column, Column, Column, Column], spots: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Add the squared distances from spots (output name -> x, y) to a segment, as segment_dist2 has them. Worked out
+    in steps, each once per row: as one formula the compiled code grows beyond what the JVM translates."""
+    x1, y1, x2, y2 = seg
+    keep = df.columns
+    df = settle(df, _gx=x2 - x1, _gy=y2 - y1)
+    df = settle(df, _gg=F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
+    along = {f"_g{i}": ((x - x1) * F.col("_gx") + (y - y1) * F.col("_gy")) / F.when(F.col("_gg") > 0, F.col("_gg")) for i, (x, y) in enumerate(spots.values())}
+    df = settle(df, **along)
+    df = settle(df, **{f"_h{i}": F.least(F.greatest(F.coalesce(f"_g{i}", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) for i in range(len(spots))})
+    off = {}
+    for i, (x, y) in enumerate(spots.values()):
+        off |= {f"_p{i}": x - (x1 + F.col(f"_h{i}") * F.col("_gx")), f"_q{i}": y - (y1 + F.col(f"_h{i}") * F.col("_gy"))}
+    df = settle(df, **off)
+    return df.select(*keep, *[(F.col(f"_p{i}") * F.col(f"_p{i}") + F.col(f"_q{i}") * F.col(f"_q{i}")).alias(n) for i, n in enumerate(spots)])
+
+
 def with_circle_interval(df: DataFrame, x: str, y: str, r: float, seg: list[str], lo: str, hi: str) -> DataFrame:
     """Keep the rows whose segment (column names x1, y1, x2, y2) passes through the circle around (x, y),
     and add the part [lo, hi] of the segment inside it, as fractions of the segment."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from siterank.functions.geometry import box_dist2, box_far_dist2, finite
 from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, with_box
 from siterank.operators.skew import split_join
-from siterank.operators.within import GEOMETRY, dist2, geometry_columns, near_features, with_dist2
+from siterank.operators.covers import numbered
+from siterank.operators.within import GEOMETRY, area_distances, dist2, geometry_columns, near_features, split_areas, with_dist2
 from siterank.sources.staging import stage
 
 BLOCK = 64  # features of a block, unless they are at one place
@@ -44,8 +45,12 @@ def lookup_within(sites: DataFrame, lookups: list[Lookup], kind: str) -> DataFra
     marks = [f"_l{i}" for i in range(len(lookups))]
     probes = sites.select("site_id", "x", "y")
     radii = [float(look.radius) for look in lookups]
+    stacked, many = split_areas(stacked) if kind == "area" else (stacked, None)
     near = near_features(probes, stacked, kind, [F.min(m).alias(m) for m in marks], radii)
-    near = with_dist2(near, kind)
+    near = with_dist2(near, kind).select("site_id", "_d2", *marks)
+    if many is not None:
+        areas = numbered(many)
+        near = near.unionByName(area_distances(probes, areas).join(areas, "_area").select("site_id", "_d2", *marks))
     best = near.groupBy("site_id").agg(
         *[F.min(F.when(F.col(m).isNotNull(), F.struct("_d2", F.col(m)))).alias(m) for m in marks]
     )

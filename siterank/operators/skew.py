@@ -60,8 +60,11 @@ def split_join(
     right_id: list[str],
     extra: Column | None = None,
     floor: int = FLOOR,
+    parts: bool = False,
 ) -> DataFrame:
-    """Inner equi join where keys may be heavy on either side or both. Columns other than `on` must differ.
+    """Inner equi join where keys may be heavy on either side or both. Columns other than `on` must differ. With
+    `parts` the result has _pl and _pr as well: rows with the same `on`, _pl and _pr come from one task, so grouping
+    by these and more needs no other shuffle.
 
     A key whose pairs are more than floor * floor is cut into blocks of at most floor rows of either side: left rows
     into _kl parts, right rows into _kr parts, each part repeated against all parts of the other side, so every pair
@@ -92,4 +95,5 @@ def split_join(
     if extra is not None:
         same.append(extra)
     joined = cut_left.alias("l").join(cut_right.alias("r").hint("merge"), same)
-    return joined.select(*[f"l.{c}" for c in left.columns], *[f"r.{c}" for c in right.columns if c not in on])
+    more = ["l._pl", "l._pr"] if parts else []
+    return joined.select(*[f"l.{c}" for c in left.columns], *[f"r.{c}" for c in right.columns if c not in on], *more)

@@ -13,11 +13,16 @@ from siterank.functions.geometry import (
     area_holds,
     box_dist2,
     box_far_dist2,
+    edge_dist2,
     point_dist2,
     segment_dist2,
     settle,
+    with_segment_dist2,
 )
-from siterank.operators.grid import BOX, candidates, is_small, point_level, touched, with_box
+from siterank.operators.covers import cover, covered_sums, near_pairs, numbered, probe, rim_pairs
+from siterank.operators.grid import BOX, CELL, candidates, is_small, point_level, touched, with_box
+
+FEW = 16  # areas of more edges are looked up by cells and edges, never by their whole ring
 
 GEOMETRY = {"point": ["px", "py"], "segment": ["x1", "y1", "x2", "y2"], "area": ["edges"]}
 
@@ -73,7 +78,36 @@ def with_dist2(near: DataFrame, kind: str) -> DataFrame:
     reach2 = F.col("reach") * F.col("reach")
     if kind == "area":
         near = near.filter(is_near(kind))
-    return settle(near, _d2=dist2(kind)).filter(F.col("_d2") <= reach2)
+    if kind == "segment":
+        near = with_segment_dist2(near, tuple(F.col(c) for c in GEOMETRY[kind]), {"_d2": (F.col("x"), F.col("y"))})
+    else:
+        near = settle(near, _d2=dist2(kind))
+    return near.filter(F.col("_d2") <= reach2)
+
+
+def only_near(near: DataFrame, kind: str) -> DataFrame:
+    """The pairs within reach."""
+    return with_dist2(near, kind).drop("_d2") if kind == "segment" else near.filter(is_near(kind))
+
+
+def split_areas(areas: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(areas of few edges, areas of many or None): boxes decide most pairs of the former, and a look at a few edges
+    the rest; for the latter no part of the work grows with the ring for each pair."""
+    edges = F.coalesce(F.size("edges"), F.lit(0))
+    many = areas.filter(edges > FEW)
+    return areas.filter(edges <= FEW), None if many.isEmpty() else many
+
+
+def area_distances(sites: DataFrame, areas: DataFrame) -> DataFrame:
+    """(site_id, _area, _d2): the squared distance of every site to every area (numbered, with reach) within its reach,
+    0 inside. Sites inside come from the cells of the areas, the others from edges within reach."""
+    probes = sites.select("site_id", "x", "y")
+    inside = near_pairs(probes, cover(areas.withColumn("reach", F.lit(0.0)))).withColumn("_d2", F.lit(0.0))
+    edges = areas.select("_area", F.explode("edges").alias("e"), "reach").select("_area", "e.*", "reach")
+    pairs = candidates(probes, with_box(edges, "segment", F.col("reach")), ["site_id"], ["_area", *GEOMETRY["segment"]])
+    pairs = settle(pairs, _d2=edge_dist2(F.col("x"), F.col("y"), {c: F.col(c) for c in GEOMETRY["segment"]}))
+    rim = pairs.filter(F.col("_d2") <= F.col("reach") * F.col("reach")).select("site_id", "_area", "_d2")
+    return inside.unionByName(rim).groupBy("site_id", "_area").agg(F.min("_d2").alias("_d2"))
 
 
 def near_features(probes: DataFrame, stacked: DataFrame, kind: str, aggs: list[Column], radii: list[float]) -> DataFrame:
@@ -114,10 +148,17 @@ def tally(sites: DataFrame, layers: list[Layer]) -> DataFrame:
             )
             stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
         names = [name for layer in group for name in layer.sums]
+        many = None
+        if kind == "area":
+            stacked, many = split_areas(stacked)
         aggs = [F.sum(n).alias(n) for n in names]
         radii = [float(layer.radius) for layer in group]
-        near = near_features(probes, stacked, kind, aggs, radii).filter(is_near(kind))
-        sums = near.groupBy("site_id").agg(*[F.sum(n).alias(n) for n in names])
+        near = only_near(near_features(probes, stacked, kind, aggs, radii), kind)
+        sums = near.groupBy("site_id").agg(*aggs)
+        if many is not None:
+            areas = numbered(many)
+            more = covered_sums(probes, cover(areas), areas.select("_area", *names), names)
+            sums = sums.unionByName(more).groupBy("site_id").agg(*aggs)
         out = out.join(sums, "site_id", "left")
     names = [n for layer in layers for n in layer.sums]
     return out.select("site_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
@@ -165,17 +206,31 @@ def near_places(sites: DataFrame, layers: list[Layer]) -> DataFrame:
     Places, not ids, are what is compared, so nothing depends on the ids."""
     hits = None
     for layer in layers:
-        light = is_small(layer.rows.select(*geometry_columns(layer.kind)))
-        rows = layer.rows.select(*geometry_columns(layer.kind))
+        rows, many = layer.rows.select(*geometry_columns(layer.kind)), None
+        light = is_small(rows)
+        if layer.kind == "area":
+            rows, many = split_areas(rows)
         level = point_level(layer.radius) if layer.kind == "point" else None
         feats = with_box(
             rows.distinct() if layer.kind != "area" else rows, layer.kind, layer.radius, None if level is None else F.lit(level)
         )
         found = touched(sites, feats, is_near(layer.kind), None if level is None else [level], light)
+        if many is not None:
+            found = found.unionByName(_near_areas(sites, many.withColumn("reach", F.lit(float(layer.radius))))).distinct()
         hits = found if hits is None else hits.unionByName(found)
     return hits if len(layers) == 1 else hits.distinct()
 
 
+def _near_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:
+    """The distinct places (x, y) of sites near any area: those in a full cell, and those that edges in rim cells show."""
+    cells = cover(numbered(areas))
+    full = cells.full.select(*CELL).distinct()
+    places = sites.select("x", "y").distinct()
+    inside = probe(places, full).join(full, list(CELL), "left_semi").select("x", "y")
+    rim = rim_pairs(places.withColumn("site_id", F.struct("x", "y")), cells).select("site_id.x", "site_id.y")
+    return inside.unionByName(rim).distinct()
+
+
 def flag_within(sites: DataFrame, rows: DataFrame, radius: float, name: str, kind: str = "point", value: int = 1):
     """(site_id, name): `value` where any feature is within the radius, else 0. Radius 0 means touching."""
     hits = near_places(sites, [Layer(rows, radius, kind=kind)]).withColumn(name, F.lit(value))
@@ -199,17 +254,26 @@ def keep_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "p
 
 def points_in_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:
     """(site_id, id): every area that holds the site, its boundary included."""
-    feats = with_box(areas.select("id", "edges"), "area", 0.0)
+    few, many = split_areas(areas.select("id", "edges"))
     probes = sites.select("site_id", "x", "y")
-    return candidates(probes, feats, ["site_id"], ["id"]).filter(is_near("area")).select("site_id", "id")
+    found = candidates(probes, with_box(few, "area", 0.0), ["site_id"], ["id"]).filter(is_near("area")).select("site_id", "id")
+    if many is None:
+        return found
+    many = numbered(many.withColumn("reach", F.lit(0.0)))
+    more = near_pairs(probes, cover(many)).join(many.select("_area", "id"), "_area")
+    return found.unionByName(more.select("site_id", "id"))
 
 
 def pairs_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str, carry: list[str]) -> DataFrame:
     """(site_id, carry..., dist): every feature within the radius of every site. The result is as big as
     the number of pairs; use the tallies above where only totals are wanted."""
+    rows, many = split_areas(rows) if kind == "area" else (rows, None)
     feats = with_box(rows.select(*carry, *geometry_columns(kind)), kind, radius)
     probes = sites.select("site_id", "x", "y")
-    near = with_dist2(candidates(probes, feats, ["site_id"], GEOMETRY[kind]), kind)
+    near = with_dist2(candidates(probes, feats, ["site_id"], GEOMETRY[kind]), kind).select("site_id", *carry, "_d2")
+    if many is not None:
+        areas = numbered(many.select(*carry, "edges", F.lit(float(radius)).alias("reach")))
+        near = near.unionByName(area_distances(probes, areas).join(areas, "_area").select("site_id", *carry, "_d2"))
     return near.select("site_id", *carry, F.sqrt("_d2").alias("dist"))
 
 
@@ -221,7 +285,7 @@ def clusters_within(sites: DataFrame, layers: dict[str, DataFrame], radius: floa
         stacked = part if stacked is None else stacked.unionByName(part)
     feats = with_box(stacked.distinct(), "segment", radius)
     probes = sites.select("site_id", "x", "y")
-    near = candidates(probes, feats, ["site_id"], GEOMETRY["segment"]).filter(is_near("segment"))
+    near = only_near(candidates(probes, feats, ["site_id"], GEOMETRY["segment"]), "segment")
     found = near.select("site_id", "layer", "cluster_id").distinct()
     counts = found.groupBy("site_id").agg(
         *[F.sum(F.when(F.col("layer") == n, F.lit(1).cast("bigint"))).alias(n) for n in layers]
@@ -235,6 +299,6 @@ def lowest_within(
     """(site_id, name): the smallest value of a column over the features within the radius, else NULL."""
     stacked = rows.select(*geometry_columns(kind), F.lit(float(radius)).alias("reach"), F.col(column).alias("_low"))
     probes = sites.select("site_id", "x", "y")
-    near = near_features(probes, stacked, kind, [F.min("_low").alias("_low")], [float(radius)]).filter(is_near(kind))
+    near = only_near(near_features(probes, stacked, kind, [F.min("_low").alias("_low")], [float(radius)]), kind)
     low = near.groupBy("site_id").agg(F.min("_low").alias(name))
     return sites.select("site_id").join(low, "site_id", "left")
