@@ -1,8 +1,8 @@
 """Phrase collocation mining by vertical partitioning of suffix trees.
 
 The words of a language's pieces form its string; a suffix starts at every word and is cut after LONGEST words. Words,
-then pairs of words, are counted first, as hashes; a hash's count is never below that of any word or pair it stands
-for, so a suffix may end where no frequent phrase can go on. Equal suffixes are added up: they are the leaves.
+then pairs and triples of words are counted first, as hashes; a hash's count is never below that of any of them it
+stands for, so a suffix may end where no frequent phrase can go on. Equal suffixes are added up: they are the leaves.
 
 Word prefixes are grouped by a budget of leaves, as large as a task holds. A prefix with more leaves than the budget
 is replaced by the prefixes one word longer. The prefixes are laid out in one order and each run of them within the
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ from siterank.sources.staging import stage
 LONGEST, FREQUENT, TOP = 5, 100, 2000
 BUDGET = 200_000  # leaves of a group
 CHUNK = 2 << 20
+BITS = 40  # of a hash, that tell words, pairs and triples apart when they are counted
+HELD = 4 << 20  # hashes that a task counts at a time
+BUCKET, LEAST_BITS, MOST_BITS = 1 << 20, 8, 24  # words of a bucket of hashes, about; how many bits may name a bucket
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -39,7 +44,7 @@ _AGAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words:
-    """The words of some texts: where they are, their language and hash, and which of them the next one follows."""
+    """The words of some texts: where they are, their language, and which of them the next one follows."""
 
     def __init__(self, texts: pa.Array, langs: list[str]):
         self.data, starts = bytes_of(texts)
@@ -51,20 +56,25 @@ class _Words:
         text = np.searchsorted(starts, self.begin, side="right") - 1
         self.names, of = np.unique(np.array(langs, object), return_inverse=True)
         self.lang = of[text] if len(text) else np.zeros(0, np.int64)
-        seeds = [hashlib.blake2b(n.encode(), digest_size=8).digest() for n in self.names]
-        own = np.array([int.from_bytes(s, "little") for s in seeds], np.uint64)
-        self.hash = mix(word_hashes(self.data, self.begin, self.end) ^ own[self.lang]) if len(self.begin) else np.zeros(0, np.uint64)
         breaks = np.cumsum(_BREAK[self.data], dtype=np.int64)
         self.next = np.zeros(len(self.begin), bool)
         if len(self.begin):
             self.next[:-1] = (text[1:] == text[:-1]) & (breaks[self.begin[1:]] == breaks[self.begin[:-1]])
 
-    def pairs(self) -> np.ndarray:
-        """A hash of each word and the next."""
-        return mix(self.hash[:-1] * _AGAIN + self.hash[1:])
-
-    def frequent(self, bits: np.ndarray) -> np.ndarray:
-        return holds(bits, _slots(self.hash))
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each word in its language."""
+        if not len(self.begin):
+            return np.zeros(0, np.uint64)
+        own = np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in self.names], np.uint64)
+        return mix(word_hashes(self.data, self.begin, self.end) ^ own[self.lang])
+
+    def runs(self, words: int, at: np.ndarray) -> np.ndarray:
+        """A hash of so many words from each place on."""
+        out = self.hash[at]
+        for k in range(1, words):
+            out = mix(out * _AGAIN + self.hash[at + k])
+        return out
 
     def strings(self, at: np.ndarray, length: np.ndarray) -> pa.Array:
         """Words at .. at + length - 1 in lower case, joined by single spaces."""
@@ -83,12 +93,7 @@ class _Words:
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
-    return np.mod(hashes.view(np.int64), SLOTS) + 1
-
-
-def _counted(hashes: np.ndarray) -> pa.RecordBatch:
-    values, n = np.unique(hashes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "hash", "n"])
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64) % SLOTS + 1
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -109,23 +114,68 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
                 low = high
 
 
-COUNTS = "lang string, hash long, n long"
-
-
 def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")
     )
 
 
-def _many(counts: DataFrame, least: int) -> DataFrame:
-    """Counts added up: those of hashes that come `least` times, and all those of languages."""
-    summed = counts.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
-    return stage(summed.filter((F.col("n") >= least) | F.col("hash").isNull()), "frequent")
+def _pack(hashes: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Counted hashes, one row for each bucket (the first bits): the steps between the sorted rest, and the counts."""
+    values, n = np.unique(np.concatenate(hashes) >> np.uint64(64 - BITS), return_counts=True)
+    bucket = (values >> np.uint64(BITS - bits)).astype(np.int64)
+    rest = values & np.uint64((1 << (BITS - bits)) - 1)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(values) else np.zeros(0, np.int64)
+    steps = np.diff(rest, prepend=rest[:1])
+    steps[first] = rest[first]
+    ends = np.append(first[1:], len(values))
+    cut = lambda x: [x[a:b].tobytes() for a, b in zip(first, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first]), pa.array(cut(steps.astype(np.uint32)), pa.binary()), pa.array(cut(n.astype(np.uint32)), pa.binary())],
+        names=["bucket", "steps", "counts"],
+    )
 
 
-def _bits(counts: DataFrame):
-    return bitmap(counts.filter("hash is not null").select((F.pmod("hash", F.lit(SLOTS)) + 1).alias("s")), "s")
+def frequent_slots(rows: DataFrame, hashes, bits: int, least: int) -> DataFrame:
+    """(s): the slots of all hashes that come `least` times. hashes gives those of some texts as an array; bits is how
+    many of a hash's bits name its bucket. A task counts what it has before it sends one row for each bucket, and the
+    buckets are as many as it takes for one to be small."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for w in _parts(batches):
+            held.append(hashes(w))
+            n += len(held[-1])
+            if n > HELD:
+                yield _pack(held, bits)
+                held, n = [], 0
+        if n:
+            yield _pack(held, bits)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values, counts = None, [], []
+
+        def total() -> pa.RecordBatch:
+            rest = np.concatenate(values)
+            order = np.argsort(rest, kind="stable")
+            rest, n = rest[order], np.concatenate(counts)[order]
+            first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
+            many = rest[first[np.add.reduceat(n, first) >= least]] | (np.uint64(now) << np.uint64(BITS - bits))
+            return pa.RecordBatch.from_arrays([pa.array(many.astype(np.int64) % SLOTS + 1)], names=["s"])
+
+        for batch in batches:
+            for bucket, steps, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if now is not None and bucket != now:
+                    yield total()
+                    values, counts = [], []
+                now = bucket
+                values.append(np.cumsum(np.frombuffer(steps.as_buffer(), np.uint32), dtype=np.uint64))
+                counts.append(np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64))
+        if values:
+            yield total()
+
+    packed = rows.mapInArrow(count, "bucket long, steps binary, counts binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "s long")
 
 
 def leaves(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -134,35 +184,47 @@ def leaves(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     small_batches(docs.sparkSession)
     rows = _rows(docs, text, lang)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _parts(batches):
-            yield _counted(w.hash)
             n = np.bincount(w.lang, minlength=len(w.names))
-            yield pa.RecordBatch.from_arrays([pa.array(w.names, pa.string()), pa.nulls(len(n), pa.int64()), pa.array(n)], names=["lang", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.names, pa.string()), pa.array(n)], names=["lang", "n"])
 
-    single = _many(rows.mapInArrow(words, COUNTS), least)
-    one = _bits(single)
+    words = stage(rows.mapInArrow(sizes, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, ceil(log2(max(1, total) / BUCKET))))
+    one = bitmap(stage(frequent_slots(rows, lambda w: w.hash, bits, least), "words"), "s")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in _parts(batches):
-            known = w.frequent(one.value)
-            yield _counted(w.pairs()[w.next[:-1] & known[:-1] & known[1:]])
+    def known(w: _Words) -> np.ndarray:
+        return holds(one.value, _slots(w.hash))
+
+    def paired(w: _Words) -> np.ndarray:
+        """Where a word that may be frequent is followed by another."""
+        own = known(w)
+        return np.flatnonzero(w.next[:-1] & own[:-1] & own[1:])
+
+    two = bitmap(stage(frequent_slots(rows, lambda w: w.runs(2, paired(w)), bits, least), "pairs"), "s")
+
+    def tripled(w: _Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where a pair may be frequent, and where such a pair's second word begins another."""
+        at = paired(w)
+        at = at[holds(two.value, _slots(w.runs(2, at)))]
+        return at, at[:-1][at[1:] == at[:-1] + 1]
 
-    two = _bits(_many(rows.mapInArrow(pairs, COUNTS), least))
+    three = bitmap(stage(frequent_slots(rows, lambda w: w.runs(3, tripled(w)[1]), bits, least), "triples"), "s")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _parts(batches):
-            at = np.flatnonzero(w.frequent(one.value))
+            at = np.flatnonzero(known(w))
             if not len(at):
                 continue
-            known = np.zeros(len(w.hash), bool)
-            known[at] = True
-            on = w.next.copy()
-            on[:-1] &= known[:-1] & known[1:]
-            on[:-1][on[:-1]] = holds(two.value, _slots(w.pairs()[on[:-1]]))
+            pair, triple = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+            first, second = tripled(w)
+            pair[first] = True
+            triple[second[holds(three.value, _slots(w.runs(3, second)))]] = True
             length, mark, going = np.ones(len(at), np.int64), w.hash[at].copy(), np.ones(len(at), bool)
             for k in range(1, longest):
-                going = going & on[np.minimum(at + k - 1, len(on) - 1)]
+                more = pair[at] if k == 1 else triple[np.minimum(at + k - 2, len(triple) - 1)]
+                going = going & more
                 length[going] += 1
                 mark[going] = mix(mark[going] * _AGAIN + w.hash[at[going] + k])
             _, first, n = np.unique(mark, return_index=True, return_counts=True)
@@ -172,7 +234,7 @@ def leaves(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
             )
 
     found = rows.mapInArrow(suffixes, "lang string, suffix string, n long").groupBy("lang", "suffix").agg(F.sum("n").alias("n"))
-    return single.filter("hash is null").select("lang", "n"), stage(found, "leaves")
+    return words, stage(found, "leaves")
 
 
 def _prefix(words: int) -> Column:
