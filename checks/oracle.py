@@ -101,8 +101,8 @@ def counts(sites: str) -> dict[str, str]:
             f"arg_min(p.volume, row({pt_d2('s', 'p')}, p.id)) AS rail_volume",
             points_near("rail", R_RAIL, sites, "p.lvolu = 'D' AND p.volume <> 0"),
         ),
-        "f_local": f"""SELECT site_id, sum(len_m) FILTER (regstat = 1) / 1609.34::DOUBLE AS ex_local_miles_qtr,
-            sum(len_m) FILTER (regstat IN (2, 3)) / 1609.34::DOUBLE AS pl_local_miles_qtr
+        "f_local": f"""SELECT site_id, sum(len_m) FILTER (regstat = 1) / 1609.344::DOUBLE AS ex_local_miles_qtr,
+            sum(len_m) FILTER (regstat IN (2, 3)) / 1609.344::DOUBLE AS pl_local_miles_qtr
             FROM ({clipped('local_kept', R_QTR, sites, 'g.regstat')}) GROUP BY site_id""",
         "f_regional": f"""SELECT site_id, sum(len_m) / 1609.34::DOUBLE AS expl_reg_miles_half
             FROM ({clipped('trails', R_HALF, sites)}) GROUP BY site_id""",
@@ -514,7 +514,7 @@ twin("dissolved_diagonals", """SELECT regstat, sum(5 * (hi - greatest(lo, coales
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM diagonals)
     WHERE hi > coalesce(prev, lo) GROUP BY regstat""")
 twin("dissolved_miles", for_all("SELECT site_id, " + ", ".join(
-    f"sum(len_m) FILTER (regstat = '{s}') / 1609.34::DOUBLE AS {s.lower()}" for s in "FOP")
+    f"sum(len_m) FILTER (regstat = '{s}') / 1609.344::DOUBLE AS {s.lower()}" for s in "FOP")
     + f" FROM ({clipped('street_once', R_QTR, extra='g.regstat')}) GROUP BY site_id",
     ", ".join(f"round(coalesce({s}, 0), 6) AS miles_{s}" for s in "fop")), STREETS)
 twin("line_miles_plan", "SELECT s.site_id, " + ", ".join(

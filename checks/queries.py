@@ -370,7 +370,7 @@ def dissolved_diagonals(spark, d):
 def dissolved_miles(spark, d):
     once = lines.dissolve_pieces(L.streets(spark, d), ["regstat"])
     kinds = {s: F.col("regstat") == s for s in ("F", "O", "P")}
-    return rounded(lines.clip_miles(L.sites(spark, d), once, QUARTER, {f"miles_{s.lower()}": c for s, c in kinds.items()}))
+    return rounded(lines.clip_miles(L.sites(spark, d), once, QUARTER, {f"miles_{s.lower()}": c for s, c in kinds.items()}, lines.LOCAL_METRES_PER_MILE))
 
 
 @query

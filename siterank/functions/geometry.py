@@ -237,6 +237,17 @@ def with_capsule_interval(df: DataFrame, part: list[str], r: float, line: list[s
     return df.select(*keep, lo, hi).filter(F.col(hi) > F.col(lo))
 
 
+def only_touching(df: DataFrame, a: tuple, b: tuple) -> DataFrame:
+    """The rows whose closed segments a and b share a point, as segments_touch has it, worked out in steps."""
+    keep = df.columns
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = a, b
+    df = df.filter((F.least(ax1, ax2) <= F.greatest(bx1, bx2)) & (F.least(bx1, bx2) <= F.greatest(ax1, ax2)))
+    df = df.filter((F.least(ay1, ay2) <= F.greatest(by1, by2)) & (F.least(by1, by2) <= F.greatest(ay1, ay2)))
+    df = settle(df, _t1=_turn(bx1, by1, bx2, by2, ax1, ay1), _t2=_turn(bx1, by1, bx2, by2, ax2, ay2)).filter(F.col("_t1") * F.col("_t2") <= 0)
+    df = settle(df, _t3=_turn(ax1, ay1, ax2, ay2, bx1, by1), _t4=_turn(ax1, ay1, ax2, ay2, bx2, by2)).filter(F.col("_t3") * F.col("_t4") <= 0)
+    return df.select(*keep)
+
+
 def _turn(ax, ay, bx, by, cx, cy) -> Column:
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 

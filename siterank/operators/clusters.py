@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import segments_touch
+from siterank.functions.geometry import only_touching
 from siterank.operators.grid import candidates, is_small, with_box
 from siterank.operators.lines import ENDS, cut_short
 from siterank.operators.skew import spread_join
@@ -51,10 +51,8 @@ def touching_edges(segs: DataFrame, status: str) -> DataFrame:
     probes, feats = probes.withColumn("a_kind", named("a_status")), feats.withColumn("b_kind", named("status"))
     crossing = candidates(
         probes, feats, ["u", "part_no"], ["v", *ENDS], broadcast=is_small(segs), match={"a_kind": "b_kind"}
-    ).filter(
-        (F.col("u") > F.col("v"))
-        & segments_touch(tuple(F.col(n) for n in whole.values()), tuple(F.col(c) for c in ENDS))
-    )
+    ).filter(F.col("u") > F.col("v"))
+    crossing = only_touching(crossing, tuple(F.col(n) for n in whole.values()), tuple(F.col(c) for c in ENDS))
     return tied.select(F.col("line_id").alias("u"), "v").unionByName(crossing.select("u", "v")).distinct()
 
 

@@ -13,7 +13,8 @@ from siterank.functions.geometry import finite, settle, with_capsule_interval, w
 from siterank.operators.grid import BOX, candidates, is_small, with_box
 from siterank.operators.within import GEOMETRY
 
-METRES_PER_MILE = 1609.34
+METRES_PER_MILE = 1609.34  # of regional trails (fixed value)
+LOCAL_METRES_PER_MILE = 1609.344  # of dissolved local lines (fixed value)
 ENDS = GEOMETRY["segment"]
 RIM = 1e-5  # metres: what is left of a segment between two erased parts counts from this length on
 
@@ -38,15 +39,19 @@ def _square(a: str, b: str) -> Column:
     return (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
 
 
-def sum_pieces(sites: DataFrame, pieces: DataFrame, filters: dict[str, Column]) -> DataFrame:
+def sum_pieces(
+    sites: DataFrame, pieces: DataFrame, filters: dict[str, Column], metres_per_mile: float = METRES_PER_MILE
+) -> DataFrame:
     """(site_id, miles per name): the clipped length for which each condition holds, 0 where there is none."""
     miles = pieces.groupBy("site_id").agg(
-        *[(F.sum(F.when(cond, F.col("len_m"))) / METRES_PER_MILE).alias(name) for name, cond in filters.items()]
+        *[(F.sum(F.when(cond, F.col("len_m"))) / metres_per_mile).alias(name) for name, cond in filters.items()]
     )
     return sites.select("site_id").join(miles, "site_id", "left").fillna(0.0, list(filters))
 
 
-def clip_miles(sites: DataFrame, segs: DataFrame, radius: float, filters: dict[str, Column]) -> DataFrame:
+def clip_miles(
+    sites: DataFrame, segs: DataFrame, radius: float, filters: dict[str, Column], metres_per_mile: float = METRES_PER_MILE
+) -> DataFrame:
     """Clipped miles per site without keeping the pieces; filters are conditions on the segments.
 
     Segments that coincide are measured once and their lengths multiplied, so copies cost one row."""
@@ -56,7 +61,7 @@ def clip_miles(sites: DataFrame, segs: DataFrame, radius: float, filters: dict[s
         sites, places.withColumns({"line_id": F.lit(0), "seg_no": F.lit(0)}), radius, list(weights), is_small(segs)
     )
     miles = pieces.groupBy("site_id").agg(
-        *[(F.sum(F.col("len_m") * F.col(w)) / METRES_PER_MILE).alias(n) for w, n in zip(weights, filters)]
+        *[(F.sum(F.col("len_m") * F.col(w)) / metres_per_mile).alias(n) for w, n in zip(weights, filters)]
     )
     return sites.select("site_id").join(miles, "site_id", "left").fillna(0.0, list(filters))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import box_dist2, box_far_dist2, finite
+from siterank.functions.geometry import box_dist2, box_far_dist2, finite, with_segment_dist2
 from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, with_box
 from siterank.operators.skew import split_join
 from siterank.operators.covers import numbered
@@ -133,7 +133,11 @@ def nearest(
             hits = worth.join(F.broadcast(opened), block)
         else:
             hits = split_join(worth, opened, block, ["site_id"], GEOMETRY[kind])
-        best = hits.groupBy("site_id").agg(F.min(F.struct(dist2(kind).alias("_d2"), "_f")).alias("_best"))
+        if kind == "segment":
+            hits = with_segment_dist2(hits, tuple(F.col(c) for c in GEOMETRY[kind]), {"_d2": (F.col("x"), F.col("y"))})
+        else:
+            hits = hits.withColumn("_d2", dist2(kind))
+        best = hits.groupBy("site_id").agg(F.min(F.struct("_d2", "_f")).alias("_best"))
         done = stage(best, "nearest")
         found = done if found is None else found.unionByName(done)
         open_sites -= done.count()

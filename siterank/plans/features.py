@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siterank.operators.labels import any_known
-from siterank.operators.lines import clip_miles, dissolve_pieces, erase_near
+from siterank.operators.lines import LOCAL_METRES_PER_MILE, clip_miles, dissolve_pieces, erase_near
 from siterank.operators.lookup import Lookup, lookup_within, nearest
 from siterank.operators.within import (
     Layer,
@@ -137,7 +137,7 @@ def line_miles(sites: DataFrame, layers: FeatureLayers) -> DataFrame:
     local = stage(local_lines(layers), "local")
     status = F.col("regstat")
     near = clip_miles(
-        sites, local, QUARTER, {"ex_local_miles_qtr": status == 1, "pl_local_miles_qtr": status.isin(2, 3)}
+        sites, local, QUARTER, {"ex_local_miles_qtr": status == 1, "pl_local_miles_qtr": status.isin(2, 3)}, LOCAL_METRES_PER_MILE
     )
     regional = clip_miles(sites, layers.trails, HALF, {"expl_reg_miles_half": F.lit(True)})
     return near.join(regional, "site_id")
