@@ -426,6 +426,8 @@ twin("areas_within", for_all(f"SELECT s.site_id, count(*) AS n FROM {triangles_n
      "coalesce(n, 0) AS n"))
 AREA_COLS = [c for c in AVERAGED if c != "avg_slope"]
 twin("avg_areas_within", for_all(F["f_taz"], r6(*AREA_COLS)))
+twin("town_stops_within", for_all(f"SELECT s.site_id, count(*) AS n, sum(p.id)::BIGINT AS ids FROM {points_near('town_stops', R_HALF)} GROUP BY s.site_id",
+     "coalesce(n, 0) AS n, coalesce(ids, 0) AS ids"))
 ZONES = {n: zones_by_edge(r) for n, r in (("zones_here", "0::DOUBLE"), ("zones_half", R_HALF), ("zones_mile", R_MI))}
 twin("points_in_zones", "SELECT site_id, id FROM zones_here", ZONES)
 twin("avg_zones_within", for_all("SELECT site_id, avg(value) AS v, count(*) AS n FROM zones_half GROUP BY site_id", "round(v, 6) AS value, coalesce(n, 0) AS n"), ZONES)

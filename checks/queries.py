@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import layers as L
-from siterank.operators import clusters, labels, lines, lookup, ranking, roster, scaling, within
+from siterank.operators import clusters, labels, lines, lookup, pyramid, ranking, roster, scaling, within
 from siterank.plans import build_roster, feature_matrix, label_sites, prioritize, prioritize_subset
 from siterank.plans.features import (
     CORRIDOR, CRASH, DEMOGRAPHICS, HALF, PROBLEM, QUARTER, SUGGESTED, TAZ, count_if, facility_counts, line_miles, rail_volume, tallied,
@@ -119,6 +119,14 @@ def areas_within(spark, d):
     )
 
 
+@query
+def town_stops_within(spark, d):
+    """Stops crowd in a town, so sums of cells are made beforehand."""
+    points = L.town_stops(spark, d).select(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("ids"))
+    near = pyramid.circle_sums(L.sites(spark, d), points, HALF, ["n", "ids"])
+    return L.sites(spark, d).select("site_id").join(near, "site_id", "left").select("site_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "ids")])
+
+
 @query
 def avg_areas_within(spark, d):
     return rounded(within.avg_areas_within(L.sites(spark, d), L.areas(spark, d), HALF, TAZ | DEMOGRAPHICS))

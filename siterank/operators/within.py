@@ -21,6 +21,7 @@ from siterank.functions.geometry import (
 )
 from siterank.operators.covers import cover, covered_sums, near_pairs, numbered, probe, rim_pairs
 from siterank.operators.grid import BOX, CELL, candidates, is_small, point_level, touched, with_box
+from siterank.operators.pyramid import CROWD, circle_sums, crowding
 
 FEW = 16  # areas of more edges are looked up by cells and edges, never by their whole ring
 
@@ -127,6 +128,34 @@ def near_features(probes: DataFrame, stacked: DataFrame, kind: str, aggs: list[C
     return candidates(probes, feats, ["site_id"], GEOMETRY[kind], levels, light)
 
 
+def _stack(group: list[Layer]) -> DataFrame:
+    """The layers of one kind as one table, each with its own reach."""
+    stacked = None
+    for layer in group:
+        part = layer.rows.select(
+            *geometry_columns(layer.kind),
+            F.lit(float(layer.radius)).alias("reach"),
+            *[c.alias(name) for name, c in layer.sums.items()],
+        )
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    return stacked
+
+
+def crowded(group: list[Layer], stacked: DataFrame) -> tuple[list[Layer], list[Layer]]:
+    """(crowded layers, the others): point layers in which so many points are near each other that sums made
+    beforehand cost less than pairs. Layers that are light together are not looked at."""
+    radii = sorted({float(layer.radius) for layer in group if layer.radius > 0})
+    if not radii or is_small(stacked.select("reach", *GEOMETRY["point"])):
+        return [], group
+    dense = {r for r, n in crowding(stacked, radii).items() if n > CROWD}
+    return [layer for layer in group if layer.radius in dense], [layer for layer in group if layer.radius not in dense]
+
+
+def _circle_sums(probes: DataFrame, layer: Layer) -> DataFrame:
+    points = layer.rows.select(*geometry_columns("point"), *[c.alias(n) for n, c in layer.sums.items()])
+    return circle_sums(probes, points, layer.radius, list(layer.sums))
+
+
 def tally(sites: DataFrame, layers: list[Layer]) -> DataFrame:
     """(site_id, one column per sum) for every site, 0 where nothing is near.
 
@@ -139,19 +168,21 @@ def tally(sites: DataFrame, layers: list[Layer]) -> DataFrame:
         group = [layer for layer in layers if layer.kind == kind]
         if not group:
             continue
-        stacked = None
-        for layer in group:
-            part = layer.rows.select(
-                *geometry_columns(kind),
-                F.lit(float(layer.radius)).alias("reach"),
-                *[c.alias(name) for name, c in layer.sums.items()],
-            )
-            stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+        stacked = _stack(group)
         names = [name for layer in group for name in layer.sums]
         many = None
         if kind == "area":
             stacked, many = split_areas(stacked)
         aggs = [F.sum(n).alias(n) for n in names]
+        if kind == "point":
+            crowds, group = crowded(group, stacked)
+            for layer in crowds:
+                out = out.join(_circle_sums(probes, layer), "site_id", "left")
+            if not group:
+                continue
+            names = [name for layer in group for name in layer.sums]
+            aggs = [F.sum(n).alias(n) for n in names]
+            stacked = _stack(group)
         radii = [float(layer.radius) for layer in group]
         near = only_near(near_features(probes, stacked, kind, aggs, radii), kind)
         sums = near.groupBy("site_id").agg(*aggs)
