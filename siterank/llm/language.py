@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siterank.llm.files import small_batches
 
 DICTIONARY_BYTES = 64 << 10
-ROWS_PER_LANGUAGE = 128  # training rows that a dictionary is made of, in the order of a hash of their id
+ROWS_PER_LANGUAGE = 128  # training texts that a dictionary is made of, in the order of their hash
 LEVEL = 6
 PIECE = 4096  # long texts are compressed in pieces of this many bytes, so that the dictionary counts throughout
 MARGIN = 0.01  # of the smallest size, by which the second must be larger
@@ -31,30 +31,28 @@ def letters(text: Column) -> Column:
 
 
 def train(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, dictionary) for every non-NULL language, the one with the most rows first. Each takes the same
-    share of bytes from at most ROWS_PER_LANGUAGE rows with a letter."""
-    known = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    by_hash = Window.partitionBy("lang").orderBy("__hash", "__id")
-    chosen = (
-        known.select(F.col(lang).alias("lang"), F.col(key).alias("__id"), F.xxhash64(F.col(key)).alias("__hash"))
-        .withColumn("__rank", F.row_number().over(by_hash))
-        .filter(F.col("__rank") <= ROWS_PER_LANGUAGE)
+    """(language, dictionary) for every non-NULL language, the one with the most rows first. A dictionary is made of
+    ROWS_PER_LANGUAGE different texts with a letter, or all there are, in the order of their hash; each gives a piece
+    of the same length, DICTIONARY_BYTES in all, from a place that its hash names. No more than these pieces reach
+    the driver, however often a text or an id comes again; ids play no part."""
+    known = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("hash")
     )
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
-    order = sorted(counts, key=lambda r: (-r["n"], r["lang"]))
-    # at most ROWS_PER_LANGUAGE ids a language, and of each row no more bytes than a dictionary has
-    found = (
-        known.select(F.col(lang).alias("lang"), F.col(key).alias("__id"), letters(F.col(text)).alias("t"))
-        .join(F.broadcast(chosen.select("lang", "__id").distinct()), ["lang", "__id"])
-        .select("lang", "__id", F.substring("t", 1, DICTIONARY_BYTES).alias("t"))
-        .collect()
-    )
-    out = []
-    for name in (r["lang"] for r in order):
-        texts = [r["t"].encode() for r in sorted(found, key=lambda r: (str(r["__id"]), r["t"])) if r["lang"] == name]
-        share = max(1024, DICTIONARY_BYTES // len(texts))
-        out.append((name, b" ".join(t[:share] for t in texts)[:DICTIONARY_BYTES]))
-    return out
+    each = known.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    counts = each.groupBy("lang").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("texts"))
+    by_hash = Window.partitionBy("lang").orderBy("hash")
+    chosen = each.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= ROWS_PER_LANGUAGE)
+    share = F.floor(F.lit(DICTIONARY_BYTES) / F.least("texts", F.lit(ROWS_PER_LANGUAGE))).cast("int")
+    chosen = chosen.join(counts.select("lang", share.alias("share")), "lang").select("lang", "hash", "share")
+    plain = known.join(F.broadcast(chosen), ["lang", "hash"]).withColumn("t", letters(F.col("t")))  # at most so many rows a language
+    spare = F.greatest(F.char_length("t") - F.col("share"), F.lit(0)) + 1
+    place = (F.pmod(F.xxhash64(F.lit("place"), "hash"), spare) + 1).cast("int")
+    pieces = plain.select("lang", "hash", "share", F.substring("t", place, F.col("share")).alias("t")).dropDuplicates(["lang", "hash"]).collect()
+    order = sorted(counts.collect(), key=lambda r: (-r["n"], r["lang"]))
+    return [
+        (name, b" ".join(r["t"].encode()[: r["share"]] for r in sorted(pieces, key=lambda r: r["hash"]) if r["lang"] == name)[:DICTIONARY_BYTES])
+        for name in (r["lang"] for r in order)
+    ]
 
 
 def identify(

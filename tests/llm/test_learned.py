@@ -72,6 +72,18 @@ def test_language_odd_rows(odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.train(none)).collect()} == {"und"}
 
 
+def test_dictionaries_take_pieces_of_all_chosen_texts(spark):
+    """Every one of the chosen texts gives the same number of bytes, from anywhere in it; repeated rows count once."""
+    head = "header " * 2000
+    rows = [(1, head + " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for _ in range(2000)), "en") for i in range(200)]
+    rows += [(7, "wieder und wieder", "de")] * 2001 + [(8, "noch ein text", "de")]
+    known = dict(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    words = known["en"].decode().split()
+    assert len(known["en"]) >= 0.99 * language.DICTIONARY_BYTES
+    assert len({w for w in words if w.endswith("q") and len(w) == 3}) > 30  # prefixes would all be the header
+    assert sorted(known["de"].split()) == sorted(b"wieder und wieder noch ein text".split())
+
+
 @pytest.mark.parametrize("known", [lm.KNOWN, 50])
 def test_language_model_counts(spark, known, monkeypatch):
     """With 50 known words nearly all are looked up by the join."""
