@@ -14,6 +14,7 @@ from siterank.functions.geometry import (
     box_dist2,
     box_far_dist2,
     edge_dist2,
+    finite,
     point_dist2,
     segment_dist2,
     settle,
@@ -105,6 +106,8 @@ def area_distances(sites: DataFrame, areas: DataFrame) -> DataFrame:
     probes = sites.select("site_id", "x", "y")
     inside = near_pairs(probes, cover(areas.withColumn("reach", F.lit(0.0)))).withColumn("_d2", F.lit(0.0))
     edges = areas.select("_area", F.explode("edges").alias("e"), "reach").select("_area", "e.*", "reach")
+    # an area with a coordinate that is not finite is near nothing, its other edges neither
+    edges = edges.join(edges.filter(~finite(*GEOMETRY["segment"])).select("_area").distinct(), "_area", "left_anti")
     pairs = candidates(probes, with_box(edges, "segment", F.col("reach")), ["site_id"], ["_area", *GEOMETRY["segment"]])
     pairs = settle(pairs, _d2=edge_dist2(F.col("x"), F.col("y"), {c: F.col(c) for c in GEOMETRY["segment"]}))
     rim = pairs.filter(F.col("_d2") <= F.col("reach") * F.col("reach")).select("site_id", "_area", "_d2")
