@@ -26,7 +26,8 @@ def spread_join(
     """Equi join (NULL equals NULL) of a big left side with a right side that holds each key once.
 
     Rows of a heavy left key are split into parts by a hash of `split_by` (an id of the left rows) and the
-    right row of that key is repeated once per part, so no task gets a whole heavy key.
+    right row of that key is repeated once per part, so no task gets a whole heavy key. The right side is never
+    broadcast: Spark guesses its size from that of compressed files, and it may hold a row for every row of the left.
     """
     heavy = F.broadcast(heavy_keys(left, on, floor))
     extra = [c for c in right.columns if c not in on]
@@ -38,7 +39,7 @@ def spread_join(
         "r.*", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
     )
     same = _same("a", "b", on) & (F.col("a._part") == F.col("b._part"))
-    joined = lft.alias("a").join(rgt.alias("b"), same, how)
+    joined = lft.alias("a").join(rgt.alias("b").hint("merge"), same, how)
     keep = [F.col(f"a.{c}") for c in left.columns]
     if how in ("left_semi", "left_anti"):
         return joined.select(*left.columns)

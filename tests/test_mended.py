@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siterank.functions.geometry import ring_edges
 from siterank.operators import clusters, grid, lines, lookup, roster, skew, within
 from siterank.sources import staging, write_sites
 
@@ -138,3 +139,14 @@ def test_staged_tables_go_when_told(spark):
     assert os.path.exists(path)
     staging.drop_stages(spark)
     assert not os.path.exists(path)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_right_side_of_unknown_size_is_not_broadcast(spark):
+    left = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    right = spark.range(7).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    joined = skew.spread_join(left, right, ["k"], "left", "id")
+    assert _plan(joined).count("SortMergeJoin") == 1 and joined.filter("v = 'a'").count() == 100
