@@ -17,11 +17,12 @@ from siterank.sources import line_segments, raster_cells, read_layer
 SIZE = 20000
 ADDITION = "study addition"
 LATE = "late addition"
+SPREAD = ("customer", "part", "supplier")  # small files of rows that each cause much work
 COUNTY_NAMES = ("Anoka", "Carver", "Dakota", "Hennepin", "Ramsey", "Scott", "Washington", "Chisago", "Wright")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_layer(spark, f"{sf_dir}/{name}.parquet", spread=name == "customer")
+    return read_layer(spark, f"{sf_dir}/{name}.parquet", spread=name in SPREAD)
 
 
 def spot(key: Column, factor: int) -> Column:

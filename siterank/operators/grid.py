@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siterank.functions.geometry import finite
+from siterank.functions.geometry import finite, settle
 from siterank.operators.skew import FLOOR, split_join
 
 BASE_CELL = 50.292  # metres, 1/32 mile: the study's radii fall on whole levels
@@ -38,6 +38,8 @@ def with_box(df: DataFrame, kind: str, reach: Column | float, level: Column | No
             F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"),
         )
     elif kind == "area":
+        # the ring is built once and not again for every use of it
+        df = settle(df.withColumnRenamed("edges", "_ring"), edges=F.col("_ring")).drop("_ring")
         xs = F.transform("edges", lambda e: e["x1"])
         ys = F.transform("edges", lambda e: e["y1"])
         box = (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
@@ -45,7 +47,9 @@ def with_box(df: DataFrame, kind: str, reach: Column | float, level: Column | No
         raise ValueError(kind)
     reach = reach if isinstance(reach, Column) else F.lit(float(reach))
     # features without a finite box are near nothing
-    boxed = df.withColumns(dict(zip(BOX, box)) | {"reach": reach}).filter(finite(*BOX))
+    boxed = df.withColumns({"reach": reach})
+    boxed = settle(boxed, **dict(zip(BOX, box))) if kind == "area" else boxed.withColumns(dict(zip(BOX, box)))
+    boxed = boxed.filter(finite(*BOX))
     return boxed.withColumn("level", box_level() if level is None else level)
 
 
@@ -139,7 +143,8 @@ def candidates(
 def touched(probes: DataFrame, feats: DataFrame, near: Column, levels: list[int] | None = None, broadcast: bool = False) -> DataFrame:
     """The distinct places (x, y) of probes that any feature is near to, by a join that stops at a place's first hit.
 
-    probes: x, y; feats: as in `candidates`; near: the exact test on both."""
+    probes: x, y; feats: as in `candidates`; near: the exact test on both. Unless told to, nothing is broadcast: Spark
+    guesses the size of cells from that of the layer's compressed files."""
     if levels is None:
         levels = feats.agg(F.collect_set("level")).scalar()
     pad = F.col("reach") + SLACK
@@ -149,5 +154,5 @@ def touched(probes: DataFrame, feats: DataFrame, near: Column, levels: list[int]
     same = F.lit(True)
     for c in CELL:
         same = same & (F.col(c) == F.col(f"_f{c}"))
-    hit = places.join(F.broadcast(cells) if broadcast else cells, same & in_box & near, "left_semi")
+    hit = places.join(F.broadcast(cells) if broadcast else cells.hint("merge"), same & in_box & near, "left_semi")
     return hit.select("x", "y").distinct()

@@ -267,13 +267,13 @@ def _near_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:
 
 def flag_within(sites: DataFrame, rows: DataFrame, radius: float, name: str, kind: str = "point", value: int = 1):
     """(site_id, name): `value` where any feature is within the radius, else 0. Radius 0 means touching."""
-    hits = near_places(sites, [Layer(rows, radius, kind=kind)]).withColumn(name, F.lit(value))
+    hits = near_places(sites, [Layer(rows, radius, kind=kind)]).withColumn(name, F.lit(value)).hint("merge")
     return sites.select("site_id", "x", "y").join(hits, ["x", "y"], "left").select("site_id", F.coalesce(name, F.lit(0)).alias(name))
 
 
 def exclude_near_any(sites: DataFrame, layers: list[Layer]) -> DataFrame:
     """The sites that no layer comes near to, each layer with its own radius."""
-    return sites.join(near_places(sites, layers), ["x", "y"], "left_anti").select(*sites.columns)
+    return sites.join(near_places(sites, layers).hint("merge"), ["x", "y"], "left_anti").select(*sites.columns)
 
 
 def exclude_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
@@ -283,7 +283,7 @@ def exclude_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str =
 
 def keep_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "point") -> DataFrame:
     """The sites with any feature within the radius."""
-    return sites.join(near_places(sites, [Layer(rows, radius, kind=kind)]), ["x", "y"], "left_semi").select(*sites.columns)
+    return sites.join(near_places(sites, [Layer(rows, radius, kind=kind)]).hint("merge"), ["x", "y"], "left_semi").select(*sites.columns)
 
 
 def points_in_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:

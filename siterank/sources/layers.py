@@ -13,7 +13,7 @@ def read_layer(
     """Read a Parquet layer; with a schema, the columns it names must exist with these types.
 
     spread=True puts a layer of fewer files than the cluster has cores on all of them. It is meant for
-    sites, since one row of them can cause much work in a spatial join.
+    sites, lines and areas, since one row of them can cause much work in a spatial join.
     """
     df = spark.read.parquet(path)
     if schema is not None:

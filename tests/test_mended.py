@@ -150,3 +150,11 @@ def test_a_right_side_of_unknown_size_is_not_broadcast(spark):
     right = spark.range(7).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     joined = skew.spread_join(left, right, ["k"], "left", "id")
     assert _plan(joined).count("SortMergeJoin") == 1 and joined.filter("v = 'a'").count() == 100
+
+
+def test_cells_are_broadcast_only_when_told(spark):
+    ring = F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0))]))
+    areas = spark.range(50).select("id", ring_edges(ring).alias("edges"))
+    sites = spark.range(20).select(F.col("id").alias("site_id"), F.col("id").cast("double").alias("x"), F.lit(5.0).alias("y"))
+    hit = grid.touched(sites, grid.with_box(areas, "area", 0.0), within.is_near("area"))
+    assert "Broadcast" not in _plan(hit) and sorted(r.x for r in hit.collect()) == [float(i) for i in range(10)]
