@@ -158,3 +158,33 @@ def test_cells_are_broadcast_only_when_told(spark):
     sites = spark.range(20).select(F.col("id").alias("site_id"), F.col("id").cast("double").alias("x"), F.lit(5.0).alias("y"))
     hit = grid.touched(sites, grid.with_box(areas, "area", 0.0), within.is_near("area"))
     assert "Broadcast" not in _plan(hit) and sorted(r.x for r in hit.collect()) == [float(i) for i in range(10)]
+
+
+def test_lookup_in_a_dense_layer_compares_few_pairs(spark, monkeypatch):
+    sites = spark.range(400).select(F.col("id").alias("site_id"), (F.col("id") % 20 * 50.0).alias("x"), (F.floor(F.col("id") / 20) * 50.0).alias("y"))
+    sites = sites.unionByName(spark.createDataFrame([(900, 4000.0, 0.0), (901, 9e6, 0.0), (None, 0.0, 0.0)], "site_id long, x double, y double"))
+    segs = sites.filter("site_id < 400").select(F.col("site_id").alias("line_id"), (F.col("x") + 7).alias("x1"), F.col("y").alias("y1"), (F.col("x") + 19).alias("x2"), F.col("y").alias("y2"))
+    pairs, plain = [], lookup.near_features
+
+    def counted(*args):
+        near = plain(*args)
+        pairs.append(near.count())
+        return near
+
+    monkeypatch.setattr(lookup, "near_features", counted)
+    out = lookup.lookup_within(sites, [lookup.Lookup(segs, 5000.0, "line_id", {"line": "line_id"}, "dist")], "segment")
+    got = {r.site_id: (r.line, r.dist) for r in out.collect()}
+    assert all(got[i] == (i, 7.0) for i in range(400)) and got[900] == (19, 4000.0 - 969.0) and got[901] == got[None] == (None, None)
+    assert sum(pairs) < 20_000
+
+
+def test_areas_that_hold_a_site_come_before_those_near_it(spark):
+    def corner(i):
+        t = 2 * math.pi * i / 24
+        return {"x": 500.0 * math.cos(t), "y": 500.0 * math.sin(t)}
+
+    rows = [(1, "b", [[corner(i) for i in range(24)]]), (2, None, [[{"x": 2000.0 + x, "y": y} for x, y in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0))]]), (0, "c", [[corner(i) for i in range(24)]])]
+    areas = spark.createDataFrame(rows, "id int, name string, rings array<array<struct<x:double,y:double>>>").select("id", "name", ring_edges(F.col("rings")).alias("edges"))
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 2008.0, 2.0), (3, 600.0, 0.0), (4, 1900.0, 0.0), (5, 9000.0, 0.0), (None, 0.0, 0.0)], "site_id int, x double, y double")
+    got = {r.site_id: (r.n, r.d) for r in lookup.lookup_within(sites, [lookup.Lookup(areas, 800.0, "id", {"n": "name"}, "d")], "area").collect()}
+    assert got == {1: ("c", 0.0), 2: (None, 0.0), 3: ("c", 100.0), 4: (None, 100.0), 5: (None, None), None: (None, None)}
