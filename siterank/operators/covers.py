@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import finite, settle, with_edge_near, with_segment_dist2
-from siterank.operators.grid import BASE_CELL, CELL, SLACK, _probe_cells, _side, is_small
+from siterank.operators.grid import BASE_CELL, CELL, SLACK, _probe_cells, _side, is_small, per_site, places
 from siterank.operators.skew import split_join
 from siterank.sources.staging import stage
 
@@ -31,12 +31,13 @@ LOWEST = -6  # the finest level, cells of 0.8 m
 SPARE = 8  # an area's cells are no narrower than its perimeter by its number of edges and so many more
 FINE = 2  # and no narrower than its reach by this number
 PART = 4  # longer edges are looked at in parts of so many cells' width
+CHUNK = 32  # edges of an area that are dealt out together
 
 
 @dataclass(frozen=True)
 class Cover:
-    """full: (_level, _cx, _cy, _area); rims: the same and odd, reach and one edge (x1 to y2) a row; odd is NULL in areas
-    so thin that their inside is near their edges anyway."""
+    """full: (_level, _cx, _cy, _area); rims: the same and odd, reach and one edge (x1 to y2) a row, of those that may be
+    the nearest to a point there; odd is NULL in areas so thin that their inside is near their edges anyway."""
 
     full: DataFrame
     rims: DataFrame
@@ -63,13 +64,14 @@ def _middle() -> Column:
     return (F.col("_cy") + F.lit(0.5)) * _side(F.col("_level"))
 
 
-def _listed(areas: DataFrame) -> DataFrame:
-    """(_area, reach, deep, thin, _level, _cx, _cy, x1..y2, within, cross): every edge in every cell it may be near to.
-    within: all of the cell is within reach of it; cross: it changes sides along the middle line in this cell."""
-    edges = areas.select("_area", "reach", F.explode("edges").alias("e")).select("_area", "reach", *[F.col(f"e.{c}").alias(c) for c in ENDS])
-    length = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+def _edges(areas: DataFrame) -> DataFrame:
+    """(_area, _chunk, reach, x1..y2, deep, thin, _level): the edges of areas whose coordinates are all finite, dealt
+    out by chunks of edges that follow each other."""
+    edges = areas.select("_area", "reach", F.posexplode("edges").alias("_at", "e")).select(
+        "_area", F.floor(F.col("_at") / CHUNK).cast("int").alias("_chunk"), "reach", *[F.col(f"e.{c}").alias(c) for c in ENDS]
+    )
     per_area = edges.groupBy("_area").agg(
-        F.sum(length).alias("around"), F.count(F.lit(1)).alias("n"), F.min(finite(*ENDS)).alias("whole"),
+        F.sum(_length()).alias("around"), F.count(F.lit(1)).alias("n"), F.min(finite(*ENDS)).alias("whole"),
         (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("wide"),
         (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("high"), F.max("reach").alias("_reach"),
     ).filter("whole")
@@ -79,12 +81,26 @@ def _listed(areas: DataFrame) -> DataFrame:
     # what is inside such an area is within reach of its rim, so only the rim counts
     thin = F.least("wide", "high") < 2 * (F.col("_reach") - SLACK)
     per_area = per_area.withColumn("_level", level).select("_area", "_level", F.ceil(F.log2(span)).cast("int").alias("deep"), thin.alias("thin"))
-    side = _side(F.col("_level"))
     # an edge makes many cells, so few bytes of edges are much work: they are dealt out evenly
     spark = areas.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = edges.join(per_area, "_area").repartition(tasks, "_area", *ENDS)
-    parts = F.greatest(F.ceil(length / (side * PART)), F.lit(1)).cast("int")
+    return edges.join(stage(per_area, "extents"), "_area").repartition(tasks, "_area", "_chunk")
+
+
+def _length() -> Column:
+    return F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+
+
+def _half_diagonal() -> Column:
+    return _side(F.col("_level")) * F.lit(0.70711) + SLACK
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """(_area, reach, _chunk, deep, thin, _level, _cx, _cy, within, cross, off): every edge in every cell it may be near to.
+    within: all of the cell is within reach of it; cross: it changes sides along the middle line in this cell; off: its
+    squared distance from the cell's middle."""
+    side = _side(F.col("_level"))
+    parts = F.greatest(F.ceil(_length() / (side * PART)), F.lit(1)).cast("int")
     rows = rows.withColumn("_n", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
     def end(a: str, b: str, i: Column) -> Column:
@@ -102,7 +118,7 @@ def _listed(areas: DataFrame) -> DataFrame:
     cells = rows.withColumn("_cx", F.explode(F.sequence(*ends("_ax", "_bx")))).withColumn("_cy", F.explode(F.sequence(*ends("_ay", "_by"))))
     cells = settle(cells, _w=F.col("_cx") * side, _e=(F.col("_cx") + 1) * side, _s=F.col("_cy") * side, _m=_middle())
     middle = ((F.col("_cx") + F.lit(0.5)) * side, F.col("_m"))
-    bound = pad + side * F.lit(0.70711) + SLACK
+    bound = pad + _half_diagonal()
     # the parts that have a cell follow each other, the first of them lists it
     before = (part > 0) & F.col("_cx").between(*ends("_zx", "_ax")) & F.col("_cy").between(*ends("_zy", "_ay"))
     part_of = lambda *names: tuple(F.col(n) for n in names)
@@ -112,23 +128,37 @@ def _listed(areas: DataFrame) -> DataFrame:
     inner = F.col("reach") - SLACK
     spots = [(u, v) for u in (F.col("_w"), F.col("_e")) for v in (F.col("_s"), F.col("_s") + side)]
     corners = {f"_f{i}": spot for i, spot in enumerate(spots)}
-    cells = with_segment_dist2(cells, part_of(*ENDS), corners)
+    cells = with_segment_dist2(cells, part_of(*ENDS), corners | {"off": middle})
     cells = settle(cells, _a0=_ahead(F.col("_w"), F.col("_m")), _a1=_ahead(F.col("_e"), F.col("_m")))
     return cells.select(
-        "_area", "reach", "deep", "thin", "_level", "_cx", "_cy", *ENDS,
+        "_area", "reach", "_chunk", "deep", "thin", *CELL, "off",
         ((inner > 0) & (F.greatest(*corners) <= inner * inner)).alias("within"),
         (_between("y1", "y2", F.col("_m")) & (F.col("_a0") != F.col("_a1"))).cast("int").alias("cross"),
     )
 
 
+def _rims(edges: DataFrame, chunks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(_level, _cx, _cy, _area, odd, reach, x1..y2): the edges of cells (with reach, odd and off) that may be the nearest to a
+    point there: those no farther from the middle than the nearest and twice half the diagonal. Chunks of edges meet
+    the cells they are in, so edges are not shuffled once for each of their cells."""
+    limit = F.sqrt("best") + 2 * _half_diagonal()
+    near = chunks.select("_area", "_chunk", *CELL, "off").join(cells.withColumnRenamed("off", "best"), ["_area", *CELL])
+    near = settle(near, _limit=F.least(limit, F.col("reach") + SLACK + _half_diagonal()), _mx=(F.col("_cx") + F.lit(0.5)) * _side(F.col("_level")), _my=_middle())
+    near = near.filter(F.col("off") <= F.col("_limit") * F.col("_limit")).select("_area", "_chunk", *CELL, "odd", "reach", "_limit", "_mx", "_my")
+    pairs = edges.select("_area", "_chunk", *ENDS).alias("e").join(near.alias("c").hint("merge"), ["_area", "_chunk"])
+    for lo, hi, m in (("x1", "x2", "_mx"), ("y1", "y2", "_my")):
+        pairs = pairs.filter(F.col(m).between(F.least(lo, hi) - F.col("_limit"), F.greatest(lo, hi) + F.col("_limit")))
+    pairs = with_segment_dist2(pairs, tuple(F.col(c) for c in ENDS), {"_off": (F.col("_mx"), F.col("_my"))})
+    return pairs.filter(F.col("_off") <= F.col("_limit") * F.col("_limit")).select(*CELL, "_area", "odd", "reach", *ENDS)
+
+
 def cover(areas: DataFrame) -> Cover:
     """The cells of areas (_area, reach, edges). Areas without edges, or with a coordinate that is not finite, have none."""
-    cell = Window.partitionBy("_area", "_cx", "_cy")
-    listed = _listed(areas).withColumns(
-        {"whole": F.max("within").over(cell), "cross": F.sum("cross").over(cell), "nth": F.row_number().over(cell.orderBy(*ENDS))}
-    )
-    listed = stage(listed.drop("within").filter("nth = 1 or not whole"), "edges-in-cells")
-    rims = listed.filter("nth = 1 and not thin").select("_area", *CELL, "cross", "whole", "deep")
+    edges = _edges(areas)
+    seen = [F.max("within").alias("within"), F.sum("cross").alias("cross"), F.min("off").alias("off")]
+    chunks = stage(_listed(edges).groupBy("_area", "_chunk", "reach", "deep", "thin", *CELL).agg(*seen), "chunks-in-cells")
+    listed = stage(chunks.groupBy("_area", "reach", "deep", "thin", *CELL).agg(*seen).withColumnRenamed("within", "whole"), "cells")
+    rims = listed.filter("not thin").select("_area", *CELL, "cross", "whole", "deep")
     # cells without an edge, as large as they come: those whose parent has one. d counts levels above the area's own
     up = rims.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("deep"))))
     shift = lambda c, by: F.expr(f"shiftright({c}, {by})")
@@ -156,13 +186,13 @@ def cover(areas: DataFrame) -> Cover:
         ),
         "cover",
     )
-    near = listed.filter("thin and whole and nth = 1").select(*CELL, "_area")
-    edges = listed.filter("not whole").select("_area", *CELL, "thin", "reach", *ENDS)
+    near = listed.filter("thin and whole").select(*CELL, "_area")
     own = known.filter("not whole").select("_area", *CELL, "odd")
-    wide = edges.filter("not thin").join(own, ["_area", *CELL])
+    # of thin areas only the rim counts, so odd is not known
+    open_cells = listed.filter("not whole").select("_area", "reach", *CELL, "off").join(own, ["_area", *CELL], "left")
     return Cover(
         near.unionByName(known.filter("whole").select(*CELL, "_area")),
-        edges.filter("thin").withColumn("odd", none("boolean")).unionByName(wide).drop("thin"),
+        stage(_rims(edges, chunks, open_cells), "rims"),
     )
 
 
@@ -216,9 +246,10 @@ def covered_sums(sites: DataFrame, cells: Cover, values: DataFrame, names: list[
     up before they meet a site, so only rim cells make pairs."""
     sums = [F.sum(n).alias(n) for n in names]
     by_cell = stage(cells.full.join(values, "_area").groupBy(*CELL).agg(*sums), "cell-sums")
-    inside = probe(sites.select("site_id", "x", "y"), by_cell).join(by_cell, list(CELL)).select("site_id", *names)
-    rim = rim_pairs(sites, cells).join(values, "_area").select("site_id", *names)
-    return inside.unionByName(rim).groupBy("site_id").agg(*sums)
+    spots = places(sites)
+    inside = probe(spots, by_cell).join(by_cell, list(CELL)).select("x", "y", *names)
+    rim = rim_pairs(spots.withColumn("site_id", F.struct("x", "y")), cells).join(values, "_area").select("site_id.x", "site_id.y", *names)
+    return per_site(sites, inside.unionByName(rim).groupBy("x", "y").agg(*sums), sums)
 
 
 def numbered(areas: DataFrame) -> DataFrame:
