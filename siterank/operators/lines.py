@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import finite, settle, with_capsule_interval, with_circle_interval
-from siterank.operators.grid import BOX, candidates, is_small, with_box
+from siterank.operators.grid import BOX, candidates, is_small, per_site, places, with_box
 from siterank.operators.within import GEOMETRY
 
 METRES_PER_MILE = 1609.34  # of regional trails (fixed value)
@@ -54,15 +54,17 @@ def clip_miles(
 ) -> DataFrame:
     """Clipped miles per site without keeping the pieces; filters are conditions on the segments.
 
-    Segments that coincide are measured once and their lengths multiplied, so copies cost one row."""
+    Segments that coincide are measured once and their lengths multiplied, so copies cost one row; circles of one place
+    are cut once."""
     weights = {f"_w{i}": F.sum(F.when(cond, 1.0).otherwise(0.0)) for i, cond in enumerate(filters.values())}
-    places = segs.groupBy(*ENDS).agg(*[w.alias(n) for n, w in weights.items()])
+    merged = segs.groupBy(*ENDS).agg(*[w.alias(n) for n, w in weights.items()])
+    spots = places(sites).withColumn("site_id", F.struct("x", "y"))
     pieces = clip_to_radius(
-        sites, places.withColumns({"line_id": F.lit(0), "seg_no": F.lit(0)}), radius, list(weights), is_small(segs)
-    )
-    miles = pieces.groupBy("site_id").agg(
-        *[(F.sum(F.col("len_m") * F.col(w)) / metres_per_mile).alias(n) for w, n in zip(weights, filters)]
+        spots, merged.withColumns({"line_id": F.lit(0), "seg_no": F.lit(0)}), radius, list(weights), is_small(segs)
     )
+    metres = pieces.groupBy("site_id").agg(*[F.sum(F.col("len_m") * F.col(w)).alias(w) for w in weights])
+    metres = metres.select("site_id.x", "site_id.y", *weights)
+    miles = per_site(sites, metres, [(F.sum(w) / metres_per_mile).alias(n) for w, n in zip(weights, filters)])
     return sites.select("site_id").join(miles, "site_id", "left").fillna(0.0, list(filters))
 
 
