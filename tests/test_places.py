@@ -89,3 +89,15 @@ def test_equal_rings_are_covered_once(spark, monkeypatch):
     assert seen == [1, 1]
     assert {r["site_id"]: r["s"] for r in got} == {1: 10, 2: 0, 3: 0}
     assert {r["site_id"]: r["f"] for r in flags} == {1: 1, 2: 0, 3: 0}
+
+
+def test_hidden_parts_meet_no_eraser(spark, monkeypatch):
+    """Erasers 10 m apart hide a field: only parts on its rim are compared with them."""
+    eraser = spark.createDataFrame([(0.0, 10.0 * i, 1000.0, 10.0 * i) for i in range(101)], "x1 double, y1 double, x2 double, y2 double")
+    rows = [(i, 0, 300.0, 200.0 + 5 * i, 700.0, 200.0 + 5 * i) for i in range(100)] + [(200, 0, 900.0, 500.0, 1300.0, 500.0), (201, 0, 5000.0, 0.0, 5100.0, 0.0)]
+    segs = spark.createDataFrame(rows, "line_id long, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    seen = _probed(monkeypatch, lines)
+    kept = {r["line_id"]: (r["x1"], r["x2"]) for r in lines.erase_near(segs, eraser, 60.96).collect()}
+    assert set(kept) == {200, 201} and kept[201] == (5000.0, 5100.0)
+    assert kept[200] == (pytest.approx(1060.96), 1300.0) or kept[200][1] == 1300.0
+    assert seen[0] <= 4
