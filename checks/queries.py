@@ -103,8 +103,9 @@ def point_pairs_within(spark, d):
 
 @query
 def lines_within(spark, d):
-    return rounded(within.pairs_within(L.sites(spark, d), L.trails(spark, d), QUARTER, "segment", ["line_id"])
-                   .groupBy("site_id", "line_id").agg(F.min("dist").alias("dist")))
+    sites, nearest = L.sites(spark, d), [F.min("dist").alias("dist")]
+    pairs = within.pairs_within(sites, L.trails(spark, d), QUARTER, "segment", ["line_id"], per_place=True)
+    return rounded(within.to_sites(sites, pairs.groupBy("x", "y", "line_id").agg(*nearest), ["line_id"], nearest))
 
 
 @query

@@ -20,9 +20,12 @@ from siterank.functions.geometry import (
     settle,
     with_segment_dist2,
 )
-from siterank.operators.covers import cover, covered_sums, near_pairs, numbered, probe, rim_pairs
-from siterank.operators.grid import BOX, CELL, candidates, is_small, per_site, places, point_level, touched, with_box
+from siterank.operators.covers import cover, covered_sums, full_pairs, near_pairs, numbered, probe, rim_pairs
+from siterank.operators.grid import (
+    BOX, CELL, candidates, crews, each_of_crew, is_small, one_place, per_site, places, point_level, touched, with_box,
+)
 from siterank.operators.pyramid import CROWD, circle_sums, crowding
+from siterank.sources.staging import stage
 
 FEW = 16  # areas of more edges are looked up by cells and edges, never by their whole ring
 
@@ -288,22 +291,50 @@ def keep_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str = "p
 
 
 def points_in_areas(sites: DataFrame, areas: DataFrame) -> DataFrame:
-    """(site_id, id): every area that holds the site, its boundary included."""
+    """(site_id, id): every area that holds the site, its boundary included. Places are looked at, not sites, and of
+    areas of many edges equal rings are one; sites and ids come in when it is known which ring holds which place."""
     few, many = split_areas(areas.select("id", "edges"))
-    probes = sites.select("site_id", "x", "y")
-    found = candidates(probes, with_box(few, "area", 0.0), ["site_id"], ["id"]).filter(is_near("area")).select("site_id", "id")
+    spots = crews(sites)
     if many is None:
-        return found
-    many = numbered(many.withColumn("reach", F.lit(0.0)))
-    more = near_pairs(probes, cover(many)).join(many.select("_area", "id"), "_area")
-    return found.unionByName(more.select("site_id", "id"))
-
-
-def pairs_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str, carry: list[str]) -> DataFrame:
+        return _in_few(spots, few)
+    # rings are worked out once, and told apart by 128 bits
+    rings = settle(areas.select("id", F.col("edges").alias("_ring")), edges=F.col("_ring")).drop("_ring")
+    n = F.coalesce(F.size("edges"), F.lit(0))
+    hashes = {f"_h{i}": F.xxhash64(F.lit(i), n, "edges") for i in (0, 1)}
+    rings = numbered(rings.withColumns({"_n": n, "reach": F.lit(0.0)} | hashes))
+    few, many = rings.filter(F.col("_n") <= FEW).select("id", "edges"), rings.filter(F.col("_n") > FEW)
+    first = many.groupBy(*hashes).agg(F.min("_area").alias("_first"))
+    owners = many.select("_area", "id", *hashes).join(first, list(hashes)).select(F.col("_first").alias("_area"), "id")
+    once = many.join(first.select(F.col("_first").alias("_area")).hint("merge"), "_area", "left_semi")
+    cells, probes = cover(once.select("_area", "reach", "edges")), places(sites).withColumn("site_id", F.struct("x", "y"))
+
+    def owned(held: DataFrame, there: DataFrame) -> DataFrame:
+        held = held.select("site_id.x", "site_id.y", "_area").join(owners.hint("merge"), "_area").select("x", "y", "id")
+        return each_of_crew(held.join(there.hint("merge"), ["x", "y"]).select("crew", "id"))
+
+    # a site given twice has its full cells twice, its rim cells once
+    given_once = crews(sites.select("site_id", "x", "y").distinct())
+    more = owned(full_pairs(probes, cells), spots).unionByName(owned(rim_pairs(probes, cells), given_once))
+    return more if few.isEmpty() else _in_few(spots, few).unionByName(more)
+
+
+def _in_few(spots: DataFrame, areas: DataFrame) -> DataFrame:
+    """(site_id, id) of crews in areas of few edges."""
+    near = candidates(spots, with_box(areas, "area", 0.0), ["x", "y", "crew"], ["id"]).filter(is_near("area"))
+    return each_of_crew(near.select("crew", "id"))
+
+
+def pairs_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str, carry: list[str], per_place: bool = False) -> DataFrame:
     """(site_id, carry..., dist): every feature within the radius of every site. The result is as big as
-    the number of pairs; use the tallies above where only totals are wanted."""
+    the number of pairs; use the tallies above where only totals are wanted. Points and segments are compared with
+    places; `per_place` leaves their pairs at these, with x, y in place of site_id (see to_sites)."""
     rows, many = split_areas(rows) if kind == "area" else (rows, None)
     feats = with_box(rows.select(*carry, *geometry_columns(kind)), kind, radius)
+    if kind != "area":
+        probes, key = (places(sites), ["x", "y"]) if per_place else (crews(sites), ["crew"])
+        near = with_dist2(candidates(probes, feats, probes.columns, GEOMETRY[kind]), kind)
+        near = near.select(*key, *carry, F.sqrt("_d2").alias("dist"))
+        return near if per_place else each_of_crew(near)
     probes = sites.select("site_id", "x", "y")
     near = with_dist2(candidates(probes, feats, ["site_id"], GEOMETRY[kind]), kind).select("site_id", *carry, "_d2")
     if many is not None:
@@ -312,6 +343,20 @@ def pairs_within(sites: DataFrame, rows: DataFrame, radius: float, kind: str, ca
     return near.select("site_id", *carry, F.sqrt("_d2").alias("dist"))
 
 
+def to_sites(sites: DataFrame, found: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """(site_id, keys, aggs): what was found at places (x, y, keys and values, one row for a place and keys), put together
+    over each site_id. Only ids at several places are grouped again; the others have what their place has."""
+    alone, several = one_place(sites)
+    again = not several.isEmpty()
+    if again:
+        found = stage(found, "found")
+    out = each_of_crew(found.join(crews(alone).hint("merge"), ["x", "y"]))
+    if not again:
+        return out
+    more = found.join(several.hint("merge"), ["x", "y"]).groupBy("site_id", *keys).agg(*aggs)
+    return out.unionByName(more.select(*out.columns))
+
+
 def clusters_within(sites: DataFrame, layers: dict[str, DataFrame], radius: float) -> DataFrame:
     """Per name, how many different cluster_id have a segment within the radius."""
     stacked = None
@@ -319,12 +364,13 @@ def clusters_within(sites: DataFrame, layers: dict[str, DataFrame], radius: floa
         part = segs.select("cluster_id", *GEOMETRY["segment"], F.lit(name).alias("layer"))
         stacked = part if stacked is None else stacked.unionByName(part)
     feats = with_box(stacked.distinct(), "segment", radius)
-    probes = sites.select("site_id", "x", "y")
-    near = only_near(candidates(probes, feats, ["site_id"], GEOMETRY["segment"]), "segment")
-    found = near.select("site_id", "layer", "cluster_id").distinct()
-    counts = found.groupBy("site_id").agg(
-        *[F.sum(F.when(F.col("layer") == n, F.lit(1).cast("bigint"))).alias(n) for n in layers]
-    )
+    near = only_near(candidates(places(sites), feats, ["x", "y"], GEOMETRY["segment"]), "segment")
+    found = stage(near.select("x", "y", "layer", "cluster_id").distinct(), "clusters-near")
+    counted = [F.sum(F.when(F.col("layer") == n, F.lit(1).cast("bigint"))).alias(n) for n in layers]
+    alone, several = one_place(sites)
+    counts = alone.join(found.groupBy("x", "y").agg(*counted).hint("merge"), ["x", "y"]).select("site_id", *layers)
+    more = several.join(found.hint("merge"), ["x", "y"]).select("site_id", "layer", "cluster_id").distinct()
+    counts = counts.unionByName(more.groupBy("site_id").agg(*counted))
     return sites.select("site_id").join(counts, "site_id", "left").fillna(0, list(layers))
 
 
