@@ -101,3 +101,77 @@ def test_hidden_parts_meet_no_eraser(spark, monkeypatch):
     assert set(kept) == {200, 201} and kept[201] == (5000.0, 5100.0)
     assert kept[200] == (pytest.approx(1060.96), 1300.0) or kept[200][1] == 1300.0
     assert seen[0] <= 4
+
+
+def _rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_pairs_and_pieces_look_at_places(spark, monkeypatch):
+    """81 sites of two places are 2 circles of ids; site 1 is at both places, site 0 is given twice."""
+    sites = _sites(spark).unionByName(spark.createDataFrame([(0, 0.0, 0.0)], "site_id long, x double, y double"))
+    segs = spark.createDataFrame([(1, 0, -5.0, 1.0, 5.0, 1.0), (1, 1, 5.0, 1.0, 5.0, 9.0), (2, 0, 0.0, 1.5, 20.0, 1.5)], "line_id long, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    seen, cut = _probed(monkeypatch, within), _probed(monkeypatch, lines)
+    pairs = within.pairs_within(sites, segs, 2.0, "segment", ["line_id"])
+    assert _rows(pairs.filter("site_id < 2"), "site_id", "line_id", "dist") == [(0, 1, 1.0), (0, 1, 1.0), (0, 2, 1.5), (0, 2, 1.5), (1, 1, 1.0), (1, 2, 1.5), (1, 2, 1.5)]
+    near = within.pairs_within(sites, segs, 2.0, "segment", ["line_id"], per_place=True)
+    nearest = [F.min("dist").alias("dist")]
+    once = within.to_sites(sites, near.groupBy("x", "y", "line_id").agg(*nearest), ["line_id"], nearest)
+    assert _rows(once.filter("site_id < 4"), "site_id", "line_id", "dist") == [(0, 1, 1.0), (0, 2, 1.5), (1, 1, 1.0), (1, 2, 1.5), (2, 1, 1.0), (2, 2, 1.5), (3, 2, 1.5)]
+    pieces = lines.clip_to_radius(sites, segs, 2.0, light=False)
+    assert _rows(pieces.filter("site_id = 0 and line_id = 1"), "site_id", "line_id", "seg_no") == [(0, 1, 0), (0, 1, 0)]
+    of_places = lines.clip_to_radius(sites, segs, 2.0, light=False, per_place=True)
+    sums = [{r["site_id"]: r["m"] for r in lines.sum_pieces(sites, p, {"m": F.col("line_id") == 1}, 1.0).collect()} for p in (pieces, of_places)]
+    assert sums[0].keys() == sums[1].keys() and all(sums[0][k] == pytest.approx(sums[1][k]) for k in sums[0])
+    assert sums[1][0] == pytest.approx(4 * 3**0.5) and sums[1][2] == pytest.approx(2 * 3**0.5) and sums[1][-1] == 0
+    # crews of 64 ids: (0, 0) has 42 rows, (10, 0) 40
+    assert seen == [2, 2] and set(cut) == {2}
+
+
+def test_crews_hold_a_bounded_number_of_ids(spark):
+    rows = spark.range(1000).selectExpr("id % 700 as site_id", "0.0D as x", "0.0D as y")
+    rows = rows.unionByName(spark.range(500).selectExpr("cast(null as bigint) as site_id", "0.0D as x", "0.0D as y"))
+    from siterank.operators import grid
+
+    found = grid.crews(rows)
+    assert found.count() > 10 and found.agg(F.max(F.size("crew"))).first()[0] <= 4 * grid.CREW
+    back = grid.each_of_crew(found).groupBy("site_id").count().collect()
+    assert {r["site_id"]: r["count"] for r in back} == {i: 1 + (i < 300) for i in range(700)} | {None: 500}
+
+
+def test_clusters_look_at_places(spark, monkeypatch):
+    segs = spark.createDataFrame([(7, -5.0, 1.0, 5.0, 1.0), (7, 0.0, 1.5, 5.0, 1.5), (8, 9.0, 1.0, 20.0, 1.0)], "cluster_id long, x1 double, y1 double, x2 double, y2 double")
+    seen = _probed(monkeypatch, within)
+    got = {r["site_id"]: r["n"] for r in within.clusters_within(_sites(spark), {"n": segs}, 2.0).collect()}
+    assert seen == [2] and (got[0], got[3], got[1], got[-1]) == (1, 1, 2, 0)
+
+
+def test_points_in_equal_rings(spark, monkeypatch):
+    seen, plain = [], covers.cover
+
+    def counted(areas):
+        seen.append(areas.count())
+        return plain(areas)
+
+    monkeypatch.setattr(within, "cover", counted)
+    ring = [(float(i), 0.0) for i in range(20)] + [(19.0, 20.0), (0.0, 20.0)]
+    box = [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)]
+    rings = spark.createDataFrame([(i, [ring]) for i in range(5)] + [(9, [box])], "id long, rings array<array<struct<x:double,y:double>>>")
+    areas = rings.select("id", ring_edges(F.col("rings")).alias("edges"))
+    # a site given twice is on a rim once
+    sites = spark.createDataFrame([(1, 5.0, 5.0), (2, 5.0, -3.0), (3, 18.7, 0.0), (3, 18.7, 0.0), (4, None, 5.0)], "site_id long, x double, y double")
+    got = _rows(within.points_in_areas(sites, areas), "site_id", "id")
+    assert seen == [1]
+    assert got == sorted([(1, i) for i in (0, 1, 2, 3, 4, 9)] + [(3, i) for i in range(5)])
+
+
+def test_divisor_of_many_steps(spark):
+    """Neighbouring Fibonacci numbers take the most steps, more than are compiled."""
+    import math
+
+    fib = [1, 1]
+    while len(fib) < 60:
+        fib.append(fib[-1] + fib[-2])
+    rows = [(fib[i + 1], fib[i]) for i in range(60 - 1)] + [(0, 5), (5, 0), (12, 18), (10**12, 10**6), (7, 7), (9_999_991, 3_000_000)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    assert all(r["g"] == math.gcd(r["a"], r["b"]) for r in lines._with_divisor(df, "g", F.col("a"), F.col("b")).collect())
