@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import finite, settle
@@ -85,18 +85,21 @@ def per_site(sites: DataFrame, found: DataFrame, aggs: list[Column]) -> DataFram
     return rows.groupBy("site_id").agg(*aggs)
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks get rows that are few bytes but cause much work: adaptive execution would put them in one."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def crews(sites: DataFrame) -> DataFrame:
     """(x, y, crew): the places of sites with finite coordinates, with the ids of about CREW rows there in each crew, so what
     is found near a place goes to all sites there without a join. A site given twice is in crews twice."""
-    spark = sites.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = sites.select("site_id", "x", "y").filter(finite("x", "y")).groupBy("x", "y", "site_id").agg(F.count(F.lit(1)).alias("_n"))
     parts = ids.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {CREW}"))))
     parts = parts.withColumn("_ids", F.array_repeat("site_id", F.least(F.lit(CREW), F.col("_n") - F.col("_i") * CREW).cast("int")))
     rows = parts.join(ids.groupBy("x", "y").agg(F.sum("_n").alias("_all")).hint("merge"), ["x", "y"])
     crew = F.pmod(F.xxhash64("site_id", "_i"), F.ceil(F.col("_all") / CREW))
     found = rows.groupBy("x", "y", crew.alias("_c")).agg(F.flatten(F.collect_list("_ids")).alias("crew")).drop("_c")
-    return stage(found.repartition(tasks, "x", "y"), "crews")
+    return stage(found.repartition(tasks(sites.sparkSession), "x", "y"), "crews")
 
 
 def each_of_crew(found: DataFrame) -> DataFrame:

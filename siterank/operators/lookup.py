@@ -126,7 +126,7 @@ def nearest(
     times the radius, so each round works on the few sites left over, and a crowd of features far away costs a site
     only its blocks. Features and sites without finite coordinates take no part; such sites get NULL.
     """
-    probes = places(sites).withColumn("site_id", F.struct("x", "y"))
+    probes = places(sites)
     light = is_small(rows.select(*geometry_columns(kind), *[F.col(c) for c in sorted({id, *take.values()})]))
     feats = with_box(
         rows.groupBy(*geometry_columns(kind)).agg(
@@ -151,7 +151,7 @@ def nearest(
     whole = 2 * math.hypot(width, height) + 4 * side
 
     feats, side = _blocks(feats, side)
-    radius = 4 * side
+    radius = 2 * side
     box = ["minx", "miny", "maxx", "maxy"]
     block = ["_side", "_bx", "_by"]
     blocks = feats.groupBy(*block).agg(
@@ -163,35 +163,37 @@ def nearest(
     found, pending, open_sites = None, probes, span[4]
     while open_sites and (found is None or radius <= 4 * whole):
         within = blocks.withColumn("reach", F.lit(radius)).withColumn("level", box_level())
-        seen = candidates(pending, within, ["site_id"], block, broadcast=light).select(
-            "site_id", "x", "y", *block,
+        seen = candidates(pending, within, ["x", "y"], block, broadcast=light).select(
+            "x", "y", *block,
             box_dist2(F.col("x"), F.col("y"), *corner).alias("_from"),
             F.least(
                 box_far_dist2(F.col("x"), F.col("y"), *corner), point_dist2(F.col("x"), F.col("y"), F.col("_some.x"), F.col("_some.y"))
             ).alias("_to"),
         )
-        bound = F.min("_to").over(Window.partitionBy("site_id"))
+        # a block that begins beyond the radius gives no bound within it, and is beyond every bound
+        seen = seen.filter(F.col("_from") <= radius * radius)
+        bound = F.min("_to").over(Window.partitionBy("x", "y"))
         worth = seen.withColumn("_bound", bound).filter(
             (F.col("_bound") <= radius * radius) & (F.col("_from") <= F.col("_bound"))
-        ).select("site_id", "x", "y", *block)
+        ).select("x", "y", *block)
         if light:
             hits = worth.join(F.broadcast(opened), block)
-        else:
-            hits = split_join(worth, opened, block, ["site_id"], GEOMETRY[kind])
+        else:  # read for its heavy keys and for the join, and far smaller than what was seen
+            hits = split_join(stage(worth, "worth"), opened, block, ["x", "y"], GEOMETRY[kind])
         if kind == "segment":
             hits = with_segment_dist2(hits, tuple(F.col(c) for c in GEOMETRY[kind]), {"_d2": (F.col("x"), F.col("y"))})
         else:
             hits = hits.withColumn("_d2", dist2(kind))
-        best = hits.groupBy("site_id").agg(F.min(F.struct("_d2", "_f")).alias("_best"))
+        best = hits.groupBy("x", "y").agg(F.min(F.struct("_d2", "_f")).alias("_best"))
         done = stage(best, "nearest")
         found = done if found is None else found.unionByName(done)
         open_sites -= done.count()
-        pending = probes.join(found.select("site_id"), "site_id", "left_anti")
+        pending = probes.join(found.select("x", "y"), ["x", "y"], "left_anti")
         radius *= 4
     taken = [F.col(f"_best._f.{n}").alias(n) for n in take]
     if dist:
         taken.append(F.sqrt(F.col("_best._d2")).alias(dist))
-    best = per_site(sites, found.select("site_id.x", "site_id.y", "_best"), [F.min("_best").alias("_best")])
+    best = per_site(sites, found, [F.min("_best").alias("_best")])
     return sites.select("site_id").join(best, "site_id", "left").select("site_id", *taken)
 
 

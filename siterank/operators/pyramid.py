@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import box_dist2, box_far_dist2, finite, point_dist2, settle
-from siterank.operators.grid import BASE_CELL, SLACK, per_site, places, point_level
+from siterank.operators.grid import BASE_CELL, SLACK, per_site, places, point_level, tasks
 from siterank.operators.skew import split_join
 from siterank.sources.staging import stage
 
 CROWD = 1024  # points around a point, within a cell as wide as the radius, from which on sums are made beforehand
-RIM_POINTS = 16  # points of the finest cells, about
+RIM_POINTS = 128  # points of the finest cells at most, about: a cell of a circle costs as much as dozens of points
 DEEPEST = 10  # halvings of the radius
 
 KEY = ["_level", "_cx", "_cy"]
@@ -53,7 +53,9 @@ def circle_cells(sites: DataFrame, radius: float, top: int, finest: int) -> Data
     def run(c: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
 
-    cells = places(sites).withColumn("_level", F.lit(top))
+    # dealt out by a hash of its own: the same columns as in `places` would be no second shuffle
+    spots = places(sites).repartition(tasks(sites.sparkSession), F.xxhash64("x", "y"))
+    cells = spots.withColumn("_level", F.lit(top))
     cells = _measured(cells.withColumn("_cx", run("x")).withColumn("_cy", run("y")))
     touched = F.col("_from") <= reach * reach
     whole = F.col("_to") <= F.lit(inner * inner if inner > 0 else -1.0)

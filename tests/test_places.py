@@ -175,3 +175,35 @@ def test_divisor_of_many_steps(spark):
     rows = [(fib[i + 1], fib[i]) for i in range(60 - 1)] + [(0, 5), (5, 0), (12, 18), (10**12, 10**6), (7, 7), (9_999_991, 3_000_000)]
     df = spark.createDataFrame(rows, "a long, b long")
     assert all(r["g"] == math.gcd(r["a"], r["b"]) for r in lines._with_divisor(df, "g", F.col("a"), F.col("b")).collect())
+
+
+def test_circle_cells_are_dealt_out_and_few(spark, monkeypatch):
+    """A few sites make many cells, in many tasks; where points crowd, cells hold dozens of them."""
+    sites = spark.range(60).select(F.col("id").alias("site_id"), (F.col("id") * 37 % 1000 + 0.5).alias("x"), (F.col("id") * 71 % 1000 + 0.25).alias("y"))
+    points = spark.range(20000).select((F.col("id") * 7919 % 2003).cast("double").alias("px"), (F.col("id") * 104729 % 1999).cast("double").alias("py"), F.lit(1).alias("n"))
+    assert pyramid.circle_cells(sites, 800.0, 4, 2).select(F.spark_partition_id()).distinct().count() > 1
+    rows, plain = [], pyramid.stage
+    monkeypatch.setattr(pyramid, "stage", lambda df, name: rows.append((name, df.count())) or plain(df, name))
+    got = {r["site_id"]: r["n"] for r in pyramid.circle_sums(sites, points, 800.0, ["n"]).collect()}
+    assert dict(rows)["circle-cells"] < 60 * 200
+    near = sites.crossJoin(points).filter("(x - px) * (x - px) + (y - py) * (y - py) <= 640000").groupBy("site_id").count()
+    assert got == {r["site_id"]: r["count"] for r in near.collect()}
+
+
+def test_nearest_sees_few_blocks(spark, monkeypatch):
+    """Spread points: a place sees the blocks nearby, and what is worth opening is worked out once."""
+    sites = spark.range(100).select(F.col("id").alias("site_id"), (F.col("id") * 331 % 10007).cast("double").alias("x"), (F.col("id") * 877 % 10009).cast("double").alias("y"))
+    points = spark.range(4000).select("id", (F.col("id") * 7919 % 10007).cast("double").alias("x"), (F.col("id") * F.col("id") * 31 % 10009).cast("double").alias("y"))
+    seen, plain = [], lookup.candidates
+
+    def counted(*args, **kwargs):
+        pairs = plain(*args, **kwargs)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(lookup, "candidates", counted)
+    got = {r["site_id"]: r["dist"] for r in lookup.nearest(sites, points, "point", "id", {"id": "id"}, "dist").collect()}
+    assert seen[0] < 100 * 10
+    pairs = sites.crossJoin(points.select(F.col("x").alias("px"), F.col("y").alias("py")))
+    best = pairs.groupBy("site_id").agg(F.min(F.expr("(x - px) * (x - px) + (y - py) * (y - py)")).alias("d")).collect()
+    assert got == {r["site_id"]: pytest.approx(r["d"] ** 0.5) for r in best}
