@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import finite, settle, with_edge_near, with_segment_dist2
-from siterank.operators.grid import BASE_CELL, CELL, SLACK, _probe_cells, _side, is_small, per_site, places
+from siterank.operators.grid import BASE_CELL, CELL, SLACK, _probe_cells, _side, is_small, light_side, per_site, places
 from siterank.operators.skew import split_join
 from siterank.sources.staging import stage
 
@@ -258,3 +258,13 @@ def covered_sums(sites: DataFrame, cells: Cover, values: DataFrame, names: list[
 def numbered(areas: DataFrame) -> DataFrame:
     """areas with _area, written so that the numbers stay."""
     return stage(areas.withColumn("_area", F.monotonically_increasing_id()), "areas")
+
+
+def equal_rings(areas: DataFrame, aggs: list[Column]) -> DataFrame:
+    """(_area, reach, edges, aggs): areas with equal rings and the same reach as one, put together by `aggs`. Rings are
+    told apart by 128 bits and their number of edges, so they are not shuffled; the first row of each has the ring."""
+    n = F.size("edges")
+    rows = numbered(areas.withColumns({"_n": n} | {f"_h{i}": F.xxhash64(F.lit(i), n, "edges") for i in (0, 1)}))
+    once = rows.groupBy("reach", "_n", "_h0", "_h1").agg(F.min("_area").alias("_area"), *aggs).drop("reach", "_n", "_h0", "_h1")
+    once = light_side(once, "rings-once")
+    return stage(rows.select("_area", "reach", "edges").join(once, "_area"), "rings-once")

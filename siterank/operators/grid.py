@@ -72,6 +72,13 @@ def is_small(df: DataFrame, limit: int = SMALL) -> bool:
     return all(sum(r[0] for r in weights.take(n)) <= limit for n in (min(FEW_ROWS, limit + 1), limit + 1))
 
 
+def light_side(df: DataFrame, name: str) -> DataFrame:
+    """df staged, as the right side of a join whose left rows are heavy and should stay where they are: broadcast if it
+    is small, which is checked."""
+    rows = stage(df, name)
+    return F.broadcast(rows) if is_small(rows) else rows.hint("merge")
+
+
 def places(sites: DataFrame) -> DataFrame:
     """(x, y): the distinct places of sites with finite coordinates. What is near a place is worked out once for all
     sites there."""
@@ -120,6 +127,12 @@ def _side(level: Column) -> Column:
     return F.lit(BASE_CELL) * F.pow(F.lit(2.0), level)
 
 
+def _in_box() -> Column:
+    """Does the feature's box grown by its reach hold the probe?"""
+    pad = F.col("reach") + SLACK
+    return F.col("x").between(F.col("minx") - pad, F.col("maxx") + pad) & F.col("y").between(F.col("miny") - pad, F.col("maxy") + pad)
+
+
 def _feature_cells(feats: DataFrame) -> DataFrame:
     pad = F.col("reach") + SLACK
     side = _side(F.col("_level"))
@@ -170,10 +183,7 @@ def candidates(
     feat_cells = _feature_cells(feats)
     if levels is None:
         levels = feats.agg(F.collect_set("level")).scalar()
-    in_box = (
-        F.col("x").between(F.col("minx") - F.col("reach") - SLACK, F.col("maxx") + F.col("reach") + SLACK)
-        & F.col("y").between(F.col("miny") - F.col("reach") - SLACK, F.col("maxy") + F.col("reach") + SLACK)
-    )
+    in_box = _in_box()
     probe_cells = _probe_cells(probes.filter(finite("x", "y")), levels)
     cell = list(CELL)
     for i, (mine, theirs) in enumerate((match or {}).items()):
@@ -196,8 +206,7 @@ def touched(probes: DataFrame, feats: DataFrame, near: Column, levels: list[int]
     guesses the size of cells from that of the layer's compressed files."""
     if levels is None:
         levels = feats.agg(F.collect_set("level")).scalar()
-    pad = F.col("reach") + SLACK
-    in_box = F.col("x").between(F.col("minx") - pad, F.col("maxx") + pad) & F.col("y").between(F.col("miny") - pad, F.col("maxy") + pad)
+    in_box = _in_box()
     places = _probe_cells(probes.select("x", "y").filter(finite("x", "y")).distinct(), levels)
     cells = _feature_cells(feats).withColumnsRenamed({c: f"_f{c}" for c in CELL})
     same = F.lit(True)

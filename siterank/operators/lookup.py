@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import box_dist2, box_far_dist2, finite, point_dist2, with_segment_dist2
-from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, per_site, places, with_box
+from siterank.operators.grid import BASE_CELL, box_level, candidates, is_small, light_side, per_site, places, with_box
 from siterank.operators.skew import split_join
-from siterank.operators.covers import numbered
+from siterank.operators.covers import equal_rings
 from siterank.operators.within import GEOMETRY, area_distances, dist2, geometry_columns, near_features, split_areas, with_dist2
 from siterank.sources.staging import stage
 
@@ -36,6 +36,9 @@ def lookup_within(sites: DataFrame, lookups: list[Lookup], kind: str) -> DataFra
     if there is none. Lookups of few features around a site share one spatial join; each feature keeps its own radius.
     Where features crowd, smaller radii come first and only sites without a feature within one go on to the next."""
     marks = [f"_l{i}" for i in range(len(lookups))]
+    if kind == "area":  # rings are worked out once, by all tasks, and not for every look at them
+        columns = [sorted({look.id, *look.take.values(), *GEOMETRY[kind]}) for look in lookups]
+        lookups = [replace(look, rows=stage(look.rows.select(*c), "rings")) for look, c in zip(lookups, columns)]
     probes = sites.select("site_id", "x", "y")
     steps = [_radii(look, kind) for look in lookups]
     shared = [i for i, radii in enumerate(steps) if len(radii) == 1]
@@ -47,7 +50,7 @@ def lookup_within(sites: DataFrame, lookups: list[Lookup], kind: str) -> DataFra
             continue
         rest, best = probes, None
         for radius in radii:
-            found = stage(_best(rest, [replace(look, radius=radius)], [mark], kind), "within")
+            found = stage(_best(rest, [replace(look, radius=radius)], [mark], kind, radius != radii[0]), "within")
             best = found if best is None else best.unionByName(found)
             if radius != radii[-1]:
                 rest = rest.join(found.select("site_id").hint("merge"), "site_id", "left_anti")
@@ -79,8 +82,9 @@ def _radii(look: Lookup, kind: str) -> list[float]:
     return radii
 
 
-def _best(probes: DataFrame, lookups: list[Lookup], marks: list[str], kind: str) -> DataFrame:
-    """(site_id, marks) of the sites near any feature: the squared distance and the taken columns of the nearest."""
+def _best(probes: DataFrame, lookups: list[Lookup], marks: list[str], kind: str, left: bool = False) -> DataFrame:
+    """(site_id, marks) of the sites near any feature: the squared distance and the taken columns of the nearest. Sites
+    that are `left` over from a smaller radius are in no area, and areas whose boxes none of them is near are left out."""
     stacked = None
     for m, look in zip(marks, lookups):
         part = look.rows.select(
@@ -90,13 +94,14 @@ def _best(probes: DataFrame, lookups: list[Lookup], marks: list[str], kind: str)
         )
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     radii = [float(look.radius) for look in lookups]
-    stacked, many = split_areas(stacked) if kind == "area" else (stacked, None)
+    stacked, many = split_areas(stacked, staged=True) if kind == "area" else (stacked, None)
     spots = places(probes)
     near = near_features(spots, stacked, kind, [F.min(m).alias(m) for m in marks], radii)
     near = with_dist2(near, kind).select("x", "y", "_d2", *marks)
     if many is not None:
-        areas = numbered(many)
-        far = area_distances(spots.withColumn("site_id", F.struct("x", "y")), areas).join(areas, "_area")
+        areas = equal_rings(many, [F.min(m).alias(m) for m in marks])
+        areas = _boxes_near(spots, areas) if left else areas
+        far = area_distances(spots.withColumn("site_id", F.struct("x", "y")), areas, outside=left).join(areas, "_area")
         near = near.unionByName(far.select("site_id.x", "site_id.y", "_d2", *marks))
     best = near.groupBy("x", "y").agg(
         *[F.min(F.when(F.col(m).isNotNull(), F.struct("_d2", F.col(m)))).alias(m) for m in marks]
@@ -104,6 +109,13 @@ def _best(probes: DataFrame, lookups: list[Lookup], marks: list[str], kind: str)
     return per_site(probes, best, [F.min(m).alias(m) for m in marks])
 
 
+def _boxes_near(spots: DataFrame, areas: DataFrame) -> DataFrame:
+    """The numbered areas (with reach) whose box grown by the reach holds any of the places, staged."""
+    boxes = with_box(areas.select("_area", "edges", "reach"), "area", F.col("reach")).drop("edges")
+    hit = candidates(spots, boxes, ["x", "y"], ["_area"]).select("_area").distinct()
+    return stage(areas.join(light_side(hit, "near-boxes"), "_area", "left_semi"), "near-rings")
+
+
 def assign_region(sites: DataFrame, areas: DataFrame, column: str, name: str, fallback: float) -> DataFrame:
     """(site_id, name): from the area that holds the site, else the nearest one within `fallback` metres.
     An area that holds the site is at distance 0, so one lookup gives both."""

@@ -20,7 +20,7 @@ from siterank.functions.geometry import (
     settle,
     with_segment_dist2,
 )
-from siterank.operators.covers import cover, covered_sums, full_pairs, near_pairs, numbered, probe, rim_pairs
+from siterank.operators.covers import cover, covered_sums, equal_rings, full_pairs, near_pairs, numbered, probe, rim_pairs
 from siterank.operators.grid import (
     BOX, CELL, candidates, crews, each_of_crew, is_small, one_place, per_site, places, point_level, touched, with_box,
 )
@@ -95,26 +95,34 @@ def only_near(near: DataFrame, kind: str) -> DataFrame:
     return with_dist2(near, kind).drop("_d2") if kind == "segment" else near.filter(is_near(kind))
 
 
-def split_areas(areas: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def split_areas(areas: DataFrame, staged: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(areas of few edges, areas of many or None): boxes decide most pairs of the former, and a look at a few edges
-    the rest; for the latter no part of the work grows with the ring for each pair."""
+    the rest; for the latter no part of the work grows with the ring for each pair. Rings are written first, unless they
+    are already: each look at them would work them out again, and the filters in as few tasks as their source has."""
+    areas = areas if staged else stage(areas, "rings")
     edges = F.coalesce(F.size("edges"), F.lit(0))
     many = areas.filter(edges > FEW)
     return areas.filter(edges <= FEW), None if many.isEmpty() else many
 
 
-def area_distances(sites: DataFrame, areas: DataFrame) -> DataFrame:
+def area_distances(sites: DataFrame, areas: DataFrame, outside: bool = False) -> DataFrame:
     """(site_id, _area, _d2): the squared distance of every site to every area (numbered, with reach) within its reach,
-    0 inside. Sites inside come from the cells of the areas, the others from edges within reach."""
+    0 inside. Sites inside come from the cells of the areas, the others from edges within reach. Cells tell of sites on
+    an edge, too, so areas without a reach need no more; sites known to be `outside` of all need no cells."""
     probes = sites.select("site_id", "x", "y")
-    inside = near_pairs(probes, cover(areas.withColumn("reach", F.lit(0.0)))).withColumn("_d2", F.lit(0.0))
+    inside = None if outside else near_pairs(probes, cover(areas.withColumn("reach", F.lit(0.0)))).withColumn("_d2", F.lit(0.0))
+    if not outside:
+        areas = areas.filter("reach > 0")
+        if areas.isEmpty():
+            return inside
     edges = areas.select("_area", F.explode("edges").alias("e"), "reach").select("_area", "e.*", "reach")
     # an area with a coordinate that is not finite is near nothing, its other edges neither
     edges = edges.join(edges.filter(~finite(*GEOMETRY["segment"])).select("_area").distinct(), "_area", "left_anti")
     pairs = candidates(probes, with_box(edges, "segment", F.col("reach")), ["site_id"], ["_area", *GEOMETRY["segment"]])
     pairs = settle(pairs, _d2=edge_dist2(F.col("x"), F.col("y"), {c: F.col(c) for c in GEOMETRY["segment"]}))
     rim = pairs.filter(F.col("_d2") <= F.col("reach") * F.col("reach")).select("site_id", "_area", "_d2")
-    return inside.unionByName(rim).groupBy("site_id", "_area").agg(F.min("_d2").alias("_d2"))
+    found = rim if outside else inside.unionByName(rim)
+    return found.groupBy("site_id", "_area").agg(F.min("_d2").alias("_d2"))
 
 
 def near_features(probes: DataFrame, stacked: DataFrame, kind: str, aggs: list[Column], radii: list[float]) -> DataFrame:
@@ -194,7 +202,7 @@ def tally(sites: DataFrame, layers: list[Layer]) -> DataFrame:
         near = only_near(near_features(places(probes), stacked, kind, aggs, radii), kind)
         sums = per_site(probes, near.groupBy("x", "y").agg(*aggs), aggs)
         if many is not None:
-            areas = numbered(many.groupBy("reach", "edges").agg(*aggs))
+            areas = equal_rings(many, aggs)
             more = covered_sums(probes, cover(areas), areas.select("_area", *names), names)
             sums = sums.unionByName(more).groupBy("site_id").agg(*aggs)
         out = out.join(sums, "site_id", "left")
