@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siterank.functions.geometry import only_touching
-from siterank.operators.grid import candidates, is_small, with_box
+from siterank.operators.grid import CELL, _feature_cells, _in_box, _probe_cells, candidates, is_small, with_box
 from siterank.operators.lines import ENDS, cut_short
-from siterank.operators.skew import spread_join
+from siterank.operators.skew import split_join, spread_join
 from siterank.sources.staging import drop_stage, stage
 
 PART = 250.0  # metres; long segments are looked up by parts of at most this length
+KNOT = 48  # more segments of a status and size than this in the squares of segments, on average, are looked at in two rounds
+STEPS = 2**20
 
 
 def touching_edges(segs: DataFrame, status: str) -> DataFrame:
-    """(u, v), u > v: lines of the same status that touch, enough of them to connect what is connected.
+    """(u, v), u > v: lines of the same status that touch or are connected by such, enough of them to connect what is connected.
 
     Lines with a common vertex are tied to the smallest line there, one edge per line and not one per
     pair. Crossings are looked for between different geometries only: copies share their ends anyway.
+    Where lines crowd, all are compared with a few of their surroundings first, and then only those that
+    are not connected by these, so pairs do not grow with the square of the lines.
     """
     ends = segs.select(
         F.col(status).alias("status"), "line_id",
@@ -39,6 +43,8 @@ def touching_edges(segs: DataFrame, status: str) -> DataFrame:
         .groupBy("status", *ENDS)
         .agg(F.min("line_id").alias("line_id"))
     )
+    light = is_small(segs)
+    places = places if light else stage(places, "lines")
     whole = {c: f"a_{c}" for c in ENDS}
     parts = cut_short(places.withColumns({n: F.col(c) for c, n in whole.items()}), PART)
     probes = parts.select(
@@ -49,11 +55,66 @@ def touching_edges(segs: DataFrame, status: str) -> DataFrame:
     # in the key, so that lines of different status never meet; NULL is a status of its own
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     probes, feats = probes.withColumn("a_kind", named("a_status")), feats.withColumn("b_kind", named("status"))
-    crossing = candidates(
-        probes, feats, ["u", "part_no"], ["v", *ENDS], broadcast=is_small(segs), match={"a_kind": "b_kind"}
-    ).filter(F.col("u") > F.col("v"))
-    crossing = only_touching(crossing, tuple(F.col(n) for n in whole.values()), tuple(F.col(c) for c in ENDS))
-    return tied.select(F.col("line_id").alias("u"), "v").unionByName(crossing.select("u", "v")).distinct()
+    tied = tied.select(F.col("line_id").alias("u"), "v")
+    few = None if light else _pivots(feats)
+    if few is None:
+        crossing = candidates(probes, feats, ["u", "part_no"], ["v", *ENDS], broadcast=light, match={"a_kind": "b_kind"})
+        return tied.unionByName(_crossing(crossing.filter(F.col("u") > F.col("v")))).distinct()
+    first = candidates(probes, few, ["u", "part_no"], ["v", *ENDS], broadcast=False, match={"a_kind": "b_kind"})
+    # a line that is not among the few meets them as a probe only, so its id may be the smaller or the larger one
+    first = _crossing(first.filter(F.col("u") != F.col("v")))
+    roots = stage(components(tied.unionByName(first)), "roots")
+    known = roots.filter(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return known.unionByName(_crossing(_apart(probes, feats, roots)).distinct())
+
+
+def _crossing(near: DataFrame) -> DataFrame:
+    """(u, v), u > v, of the pairs of segments that share a point."""
+    near = only_touching(near, tuple(F.col(f"a_{c}") for c in ENDS), tuple(F.col(c) for c in ENDS))
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _pivots(feats: DataFrame) -> DataFrame | None:
+    """Some of the segments, chosen by hash: twice the logarithm of the number of segments of their status and size
+    with a middle in the same square, squares being as wide as the size. Nearly every segment crosses one of them where
+    segments crowd. None where they do not."""
+    square = ["b_kind", "_side", "_mx", "_my"]
+    span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1.0))
+    placed = feats.withColumn("_side", F.pow(F.lit(2.0), F.ceil(F.log2(span))))
+    middle = {"_mx": F.col("minx") + F.col("maxx"), "_my": F.col("miny") + F.col("maxy")}
+    placed = placed.withColumns({n: F.floor(m / (2 * F.col("_side"))) for n, m in middle.items()})
+    counts = stage(placed.groupBy(*square).agg(F.count(F.lit(1)).alias("_n")), "squares")
+    around = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).first()[0]
+    if around is None or around <= KNOT:
+        return None
+    drawn = F.pmod(F.xxhash64("v", *ENDS), F.lit(STEPS)) / F.lit(float(STEPS))
+    chosen = placed.join(counts.hint("merge"), square).filter(drawn * F.col("_n") < 2 * F.log(F.col("_n") + 1.0))
+    return stage(chosen.select(*feats.columns), "pivots")
+
+
+def _apart(probes: DataFrame, feats: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of `candidates` whose lines have different roots. In every cell most segments have one root: pairs are
+    made of all others there with all, and of those of that root with the others."""
+
+    def rooted(df: DataFrame, line: str, root: str, by: str) -> DataFrame:
+        found = spread_join(df.withColumn("node", F.col(line)), roots, ["node"], "left", by)
+        return found.withColumn(root, F.coalesce("root", "node")).drop("node", "root")
+
+    levels = feats.agg(F.collect_set("level")).scalar()
+    cell = [*CELL, "_kind"]
+    feats = stage(_feature_cells(rooted(feats, "v", "b_root", "x1")).withColumn("_kind", F.col("b_kind")), "crossed")
+    per_root = feats.groupBy(*cell, "b_root").agg(F.count(F.lit(1)).alias("_n"))
+    most = stage(per_root.groupBy(*cell).agg(F.max(F.struct("_n", "b_root")).alias("_m")).select(*cell, F.col("_m.b_root").alias("_most")), "most")
+    probes = _probe_cells(rooted(probes, "u", "a_root", "x"), levels).withColumn("_kind", F.col("a_kind"))
+    probes = stage(probes.join(most.hint("merge"), cell), "crossing")
+    others = stage(feats.join(most.hint("merge"), cell).filter(F.col("b_root") != F.col("_most")).drop("_most"), "others")
+    apart = _in_box() & (F.col("u") > F.col("v")) & (F.col("a_root") != F.col("b_root"))
+    alone = F.col("a_root") != F.col("_most")
+    pairs = [
+        split_join(mine.drop("_most"), theirs, cell, ["u", "part_no"], ["v", *ENDS], apart)
+        for mine, theirs in ((probes.filter(alone), feats), (probes.filter(~alone), others))
+    ]
+    return pairs[0].unionByName(pairs[1])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
